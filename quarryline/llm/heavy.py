@@ -3,8 +3,8 @@
 Several hashes each map every item to one of a fixed number of buckets whose
 weights are counted exactly. An item of at least the threshold makes all its
 buckets reach it, so only items with nothing but heavy buckets are counted one
-by one. At most 1/share buckets of a hash can be heavy, which bounds what is
-broadcast; with 64/share buckets hardly a light item survives.
+by one. At most 1/share buckets of a hash can be heavy, which bounds what the
+driver sees and broadcasts; with 64/share buckets hardly a light item survives.
 """
 
 from __future__ import annotations
@@ -40,14 +40,14 @@ def frequent_items(df: DataFrame, item: str, share: str, weight: str | None = No
     counted = rows.select(each, "w").groupBy("at.hash", "at.bucket").agg(F.sum("w").alias("n"))
     whole = F.sum("n").over(Window.partitionBy("hash"))  # over one hash's fixed number of buckets
     least = F.col("whole") * limit.numerator
-    heavy = counted.withColumn("whole", whole).where((F.col("n") > 0) & (F.col("n") * limit.denominator >= least))
+    heavy = counted.withColumn("whole", whole).where((F.col("n") > 0) & (F.col("n") * limit.denominator >= least)).collect()
+    total = heavy[0].whole if heavy else 0
     out = rows
     for i in range(hashes):
-        side = heavy.where(F.col("hash") == i).select(F.col("bucket").alias(f"b{i}"), F.col("n").alias(f"n{i}"), *([F.col("whole")] if i == 0 else []))
+        side = df.sparkSession.createDataFrame([(r.bucket, r.n) for r in heavy if r.hash == i], f"b{i} int, n{i} long")
         out = out.join(F.broadcast(side), bucket(i) == F.col(f"b{i}")).drop(f"b{i}")
-    estimate = F.least(*(F.first(f"n{i}") for i in range(hashes))) if hashes > 1 else F.first("n0")
-    exact = out.groupBy("item").agg(F.sum("w").alias("n"), estimate.alias("estimate"), F.first("whole").alias("whole"))
-    return exact.where(F.col("n") * limit.denominator >= F.col("whole") * limit.numerator).select("item", "n", "estimate")
+    exact = out.groupBy("item").agg(F.sum("w").alias("n"), F.min(F.least(*(F.col(f"n{i}") for i in range(hashes))) if hashes > 1 else F.col("n0")).alias("estimate"))
+    return exact.where(F.col("n") * limit.denominator >= total * limit.numerator)
 
 
 def p6_items(spark: SparkSession, sf: str) -> DataFrame:
