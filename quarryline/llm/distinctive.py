@@ -35,8 +35,10 @@ def log_entropy(postings: DataFrame, n_records: int, hot_rows: int = HOT_ROWS) -
 
     Defined cases: clean postings have no null term; the empty term is a term;
     a null record part is a value; with one record or none the score is the
-    local part alone; counts of 0 or less score 0; an empty table gives no rows.
+    local part alone; counts of 0 or less score 0; an empty table gives no
+    rows; other columns are not read.
     """
+    postings = postings.select(*RECORD, "term", "cnt")
     scored = lookup_join(postings, term_spread(postings), "term", hot_rows)
     rest = 1.0 - F.col("entropy") / F.log2(F.lit(n_records)) if n_records > 1 else F.lit(1.0)
     score = F.log2(1.0 + F.greatest("cnt", F.lit(0))) * F.greatest(rest, F.lit(0.0))

@@ -37,7 +37,7 @@ _SHOWN = {0x0600, 0x0601, 0x0602, 0x0603, 0x0604, 0x0605, 0x06DD, 0x070F, 0x0890
 _IGNORABLE = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
 _LATIN, _CYRILLIC, _GREEK = 1, 2, 3
 _TOP = 0x530
-_WORD = re.compile("[A-Za-zͰ-ϿЀ-ԯ][A-Za-zͰ-ϿЀ-ԯ̀-ͯ]*")
+_WORD = re.compile("[A-Za-z\u0370-\u03ff\u0400-\u052f][A-Za-z\u0370-\u03ff\u0400-\u052f\u0300-\u036f]*")
 
 
 def _scripts() -> np.ndarray:
@@ -99,28 +99,30 @@ class Speller:
 
     def search(self, word: str) -> str:
         """The best path through the word's lattice; marks keep their places."""
-        letters = [i for i, c in enumerate(word) if not "̀" <= c <= "ͯ"]
-        # state: (changes of script, -score), letters so far
-        states: dict[str, tuple[int, float, str]] = {}
+        letters = [i for i, c in enumerate(word) if not "\u0300" <= c <= "\u036f"]
+        # each letter's best way so far, (changes of script, -score), and for every step the letters they came from
+        states: dict[str, tuple[int, float]] = {}
+        came: list[dict[str, str]] = []
         for n, i in enumerate(letters):
-            new: dict[str, tuple[int, float, str]] = {}
+            new: dict[str, tuple[int, float]] = {}
+            back: dict[str, str] = {}
             for c in _MEMBERS.get(word[i], word[i]):
                 b = ord(c)
                 if not n:
-                    new[c] = (0, -self._first(b), c)
+                    new[c] = (0, -self._first(b))
                     continue
-                best = None
-                for a, (changes, cost, path) in states.items():
+                for a, (changes, cost) in states.items():
                     same = SCRIPT[ord(a)] == SCRIPT[b]
-                    way = (changes + (not same), cost - (self._next(ord(a), b) if same else self._first(b)), path + c)
-                    if best is None or way[:2] < best[:2]:
-                        best = way
-                new[c] = best
+                    way = (changes + (not same), cost - (self._next(ord(a), b) if same else self._first(b)))
+                    if c not in new or way < new[c]:
+                        new[c], back[c] = way, a
             states = new
-        path = min(states.values(), key=lambda s: s[:2])[2] if states else ""
+            came.append(back)
         out = list(word)
-        for i, c in zip(letters, path):
+        c = min(states, key=states.get) if states else ""
+        for i, back in zip(reversed(letters), reversed(came)):
             out[i] = c
+            c = back.get(c, "")
         return "".join(out)
 
     def word(self, m: re.Match) -> str:
