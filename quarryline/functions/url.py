@@ -105,8 +105,12 @@ def address(url: Column) -> Column:
 
 
 def parse_urls(df: DataFrame, url: str, into: str = "u") -> DataFrame:
-    """``df`` with the ``address`` of column ``url`` as column ``into``."""
-    return df.withColumn(into, address(F.col(url)))
+    """``df`` with the ``address`` of column ``url`` as column ``into``.
+
+    The generator makes it one computation a row: filters and fields of the
+    struct stay above it instead of copying the expression.
+    """
+    return df.select("*", F.explode(F.array(address(F.col(url)))).alias(into))
 
 
 def resolve(base: str, href: str) -> Column:

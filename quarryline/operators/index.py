@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..config import PROD, Config
-from .text import doc_lengths, page_terms, weight
+from ..session import cut
+from .text import log2_floor, page_terms, weight
 
 _ID_BLOCK = 1 << 16
 
@@ -39,14 +40,17 @@ def build_index(pages: DataFrame, cfg: Config = PROD, only_terms: list[str] | No
 
     docs: core, db, doc_id, page_id, url, n_terms, log2_terms. postings: core,
     db, doc_id, term, cnt, wt. With ``only_terms`` the postings of these terms
-    alone are built, cut down before anything is shuffled.
+    alone are built, cut down before anything is stored or shuffled.
+
+    Pages are tokenised once: the long ones' terms and the documents' ids are
+    written to the shared checkpoint folder, and all further steps start there.
     """
-    rows = page_terms(pages, cfg)
-    docs = assign_shards(doc_lengths(rows, cfg), cfg)
     terms = F.col("terms") if only_terms is None else F.filter("terms", lambda t: t.isin(only_terms))
-    long = rows.where(F.size("terms") >= cfg.min_n_tokens).select("page_id", F.explode(terms).alias("term"))
-    counted = long.groupBy("page_id", "term").agg(F.count(F.lit(1)).alias("cnt"))
-    postings = counted.join(docs.select("page_id", "core", "db", "doc_id", "n_terms"), "page_id")
+    n = F.size("terms").cast("long")
+    long = cut(page_terms(pages, cfg).where(n >= cfg.min_n_tokens).select("page_id", "url", n.alias("n_terms"), terms.alias("terms")))
+    docs = cut(assign_shards(long.select("page_id", "url", "n_terms", log2_floor(F.col("n_terms")).alias("log2_terms")), cfg))
+    counted = long.select("page_id", "n_terms", F.explode("terms").alias("term")).groupBy("page_id", "n_terms", "term").agg(F.count(F.lit(1)).alias("cnt"))
+    postings = counted.join(docs.select("page_id", "core", "db", "doc_id"), "page_id")
     return docs, postings.select("core", "db", "doc_id", "term", "cnt", weight(F.col("cnt"), F.col("n_terms")).alias("wt"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import PROD, Config
 
 SHARD = ["core", "db"]
+MAX_WORDS = 10_000
 
 
 def query_terms(text: Column) -> Column:
@@ -56,9 +57,15 @@ def split_queries(rows: DataFrame) -> DataFrame:
     return words.withColumn("n_terms", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
 
 
+def _hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """Postings of query terms. So many query words as MAX_WORDS are broadcast, so a usual term's postings stay where they are; beyond that both sides are shuffled."""
+    few = queries.limit(MAX_WORDS + 1).count() <= MAX_WORDS
+    return postings.join(F.broadcast(queries) if few else queries, "term")
+
+
 def matches(postings: DataFrame, queries: DataFrame, cfg: Config = PROD) -> DataFrame:
     """(query_id, core, db, doc_id, score) of documents that hold all terms with weight left."""
-    hits = postings.join(queries, "term")
+    hits = _hits(postings, queries)
     per_query = Window.partitionBy("query_id", *SHARD)
     figures = hits.groupBy("query_id", *SHARD, "term", "mult", "n_terms").agg(F.count_if(F.col("wt") > 0).alias("df"), F.max("wt").alias("mx"))
     figures = figures.withColumn("idf", idf(F.col("df"), cfg.shard_size))
@@ -88,5 +95,5 @@ def search(postings: DataFrame, docs: DataFrame, queries: DataFrame, cfg: Config
 
 def scanned(postings: DataFrame, queries: DataFrame, cfg: Config = PROD) -> DataFrame:
     """(query_id, n_shards, scanned): shards with all terms, and their nominal documents."""
-    there = postings.join(queries, "term").groupBy("query_id", "n_terms", *SHARD).agg(F.count_distinct("term").alias("n"))
+    there = _hits(postings, queries).groupBy("query_id", "n_terms", *SHARD).agg(F.count_distinct("term").alias("n"))
     return there.where(F.col("n") == F.col("n_terms")).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_shards"), (F.count(F.lit(1)) * cfg.shard_size).alias("scanned"))

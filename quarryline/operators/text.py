@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PROD, Config
+from ..session import spread
 
 #: A page's sections, its text nodes, its terms.
 SECTION = r"(?s)<(body|/script|/style)([^<>]*)>.*?(</body>|<script|<style)"
@@ -31,8 +32,12 @@ def terms_of(text: Column) -> Column:
 
 
 def page_terms(pages: DataFrame, cfg: Config = PROD) -> DataFrame:
-    """``pages`` with ``terms``: a page's terms in order, one scan and no shuffle."""
-    return pages.where(F.col("html").isNotNull()).withColumn("terms", F.flatten(F.transform(text_nodes(F.col("html"), cfg), terms_of))).drop("html")
+    """``pages`` with ``terms``: a page's terms in order, in one scan.
+
+    The generator makes it one tokenisation a page, whatever is later asked of the terms.
+    """
+    terms = F.flatten(F.transform(text_nodes(F.col("html"), cfg), terms_of))
+    return spread(pages.where(F.col("html").isNotNull())).select("*", F.explode(F.array(terms)).alias("terms")).drop("html")
 
 
 def term_counts(rows: DataFrame, key: str, terms: str = "terms") -> DataFrame:
@@ -68,5 +73,5 @@ def article_terms(pages: DataFrame, cfg: Config = PROD) -> DataFrame:
     """(page_id, n_article_terms, n_terms): terms in text nodes of over 30 terms, and all."""
     sizes = F.transform(text_nodes(F.col("html"), cfg), lambda t: F.regexp_count(t, F.lit(TERM)))
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x).cast("long")
-    counts = pages.where(F.col("html").isNotNull()).select("page_id", sizes.alias("s"))
+    counts = spread(pages.where(F.col("html").isNotNull())).select("page_id", sizes.alias("s"))
     return counts.select("page_id", total(F.filter("s", lambda x: x > cfg.article_terms)).alias("n_article_terms"), total(F.col("s")).alias("n_terms"))

@@ -29,6 +29,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if its files make fewer splits than there are cores.
+
+    For costly work on a row of its own; large inputs have more splits and
+    are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared checkpoint folder.
 
