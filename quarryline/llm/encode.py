@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources import read_table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -109,7 +110,7 @@ def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
     """
     keep = keep or []
     named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = df.select(*named, F.col(text).alias("t"))
+    rows = spread(df.select(*named, F.col(text).alias("t")))
     last = "ids array<int>" if ids else "n_tokens long"
     schema = ", ".join([*(f"k{i} {t}" for i, (_, t) in enumerate(rows.dtypes[:-1])), last])
     names = [*(f"k{i}" for i in range(len(keep))), last.split()[0]]

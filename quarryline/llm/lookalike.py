@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, spread
 from ..sources import read_table
 
 #: Letters of one look, as Latin, Cyrillic, Greek.
@@ -163,7 +164,7 @@ def letter_pairs(df: DataFrame, text: str) -> dict[tuple[int, int], int]:
                 total = code, np.bincount(at_code, np.concatenate([total[1], np.ones(both.sum(), np.int64)]), len(code)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], ["pair", "n"])
 
-    rows = df.select(text).mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    rows = spread(df.select(text)).mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     return {(r.pair // _TOP, r.pair % _TOP): r.n for r in rows}
 
 
@@ -185,7 +186,7 @@ def _forms(df: DataFrame, id_col: str, text: str, hashed: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([digest(f) if s else None for f, s in zip(form, shown)], pa.binary()), pa.array([digest(t) if s else None for t, s in zip(raw, shown)], pa.binary())], ["id", "form", "raw"])
 
     schema = "id long, form binary, raw binary" if hashed else "id long, form string"
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(work, schema)
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text))).mapInArrow(work, schema)
 
 
 def one_form(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -210,8 +211,6 @@ def look_the_same(df: DataFrame, id_col: str, text: str) -> DataFrame:
     no pair; ids are unique; an empty table gives no rows; other columns are
     not read.
     """
-    from ..session import cut
-
     rows = cut(_forms(df, id_col, text, hashed=True).where("form is not null"))
     texts = rows.select("form", "raw").distinct()
     several = texts.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
