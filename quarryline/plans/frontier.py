@@ -161,7 +161,7 @@ QUERIES = {f.__name__: f for f in _FNS}
 _L = sql.LINKS
 _A = f"ju AS (SELECT DISTINCT url FROM jobs WHERE url IS NOT NULL), {sql.parsed('a', 'ju', 'url', 'url')}, ap AS (SELECT *, scheme || '://' || authority || path AS p FROM a)"
 _PAGED = f"pg AS (SELECT queue, url, priority, CAST((row_number() OVER (PARTITION BY queue ORDER BY url) - 1) // 60 AS BIGINT) AS page FROM (SELECT {sql.QUEUE} AS queue, * FROM fr))"
-_POPPED = f"pop AS (SELECT {sql.QUEUE} AS queue, row_number() OVER (PARTITION BY {sql.QUEUE} ORDER BY priority DESC, url DESC) AS rk, url, priority FROM {{}})"
+_POPPED = f"pop AS (SELECT {sql.QUEUE} AS queue, CAST(row_number() OVER (PARTITION BY {sql.QUEUE} ORDER BY priority DESC, url DESC) AS INTEGER) AS rk, url, priority FROM {{}})"
 _LEGACY = sql.NOT_HTML.replace("mp3|", "").replace("xml|", "").replace("svg|SVG|json", "GIF")
 _RULES = r"""
     rf AS (SELECT row_number() OVER () AS f, host, string_split_regex(text, '\r?\n') AS ls FROM documents WHERE source = 'robotstxt' AND host IS NOT NULL AND text IS NOT NULL),

@@ -39,7 +39,7 @@ def search(cfg: Config, q: str) -> str:
     f5 AS (SELECT *, CAST(pow(2, CASE WHEN den <= 1 THEN 0 ELSE length(bin(den - 1)) END) AS BIGINT) AS divisor FROM f4),
     sc AS (SELECT query_id, core, db, doc_id, n_q, CAST(sum(h.mult * (h.wt // f5.divisor)) AS BIGINT) AS score, count(*) AS nz
            FROM h JOIN f5 USING (query_id, core, db, term, n_q) WHERE h.wt // f5.divisor > 0 GROUP BY ALL),
-    best AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, core, db, doc_id) AS pos,
+    best AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, core, db, doc_id) AS INTEGER) AS pos,
                     url, score, log2_terms, core, db, doc_id
              FROM sc JOIN d USING (core, db, doc_id) WHERE nz = n_q AND log2_terms >= 8 QUALIFY pos <= {cfg.top_k})"""
 
