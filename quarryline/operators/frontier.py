@@ -36,10 +36,10 @@ def pop_order(frontier: DataFrame, cfg: Config = PROD, first: int | None = None)
     return rows if first is None else rows.where(F.col("rk") <= first)
 
 
-def round_robin(popped: DataFrame, limit: int) -> DataFrame:
-    """(turn, queue, url): one job of each queue in turn (W04), the first ``limit``."""
-    turns = popped.orderBy("rk", "queue").limit(limit)
-    return turns.select("rk", "queue", "url", "priority")
+def round_robin(popped: DataFrame, limit: int | None = None) -> DataFrame:
+    """(rk, queue, url, priority): one job of each queue in turn (W04), in that order; with ``limit``, only the first so many."""
+    turns = popped.orderBy("rk", "queue")
+    return (turns if limit is None else turns.limit(limit)).select("rk", "queue", "url", "priority")
 
 
 def url_pages(frontier: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -108,6 +108,16 @@ def frontier_round_robin(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.round_robin(frontier.pop_order(_frontier(spark, sf), first=500), 500)
 
 
+def frontier_pop_order_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole order of each queue."""
+    return frontier.pop_order(_frontier(spark, sf))
+
+
+def frontier_round_robin_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All jobs, queues in turn until each is empty."""
+    return frontier.round_robin(frontier.pop_order(_frontier(spark, sf)))
+
+
 def frontier_pages(spark: SparkSession, sf: str) -> DataFrame:
     """T06, D02."""
     return frontier.split_pages(_frontier(spark, sf))
@@ -155,7 +165,7 @@ def host_workers(spark: SparkSession, sf: str) -> DataFrame:
     return hosts.join(workers, "host", "left")
 
 
-_FNS = [links_raw, links_resolved, links_canonical, cross_domain_links, trap_pages, link_filters, trap_urls, domain_roots, academic_domains, frontier_priority, frontier_seen, frontier_new, frontier_pop_order, frontier_round_robin, frontier_pages, frontier_page_max, frontier_lookup, robots_rules, robots_allowed, root_jobs, host_workers]
+_FNS = [links_raw, links_resolved, links_canonical, cross_domain_links, trap_pages, link_filters, trap_urls, domain_roots, academic_domains, frontier_priority, frontier_seen, frontier_new, frontier_pop_order, frontier_round_robin, frontier_pop_order_all, frontier_round_robin_all, frontier_pages, frontier_page_max, frontier_lookup, robots_rules, robots_allowed, root_jobs, host_workers]
 QUERIES = {f.__name__: f for f in _FNS}
 
 _L = sql.LINKS
@@ -190,6 +200,8 @@ SQL = {
     "frontier_new": f"WITH {_L} SELECT url, priority FROM fr WHERE url NOT IN (SELECT url FROM seen_urls WHERE url IS NOT NULL)",
     "frontier_pop_order": f"WITH {_L}, {_POPPED.format('fr')} SELECT queue, url, priority, rk FROM pop WHERE rk <= 20",
     "frontier_round_robin": f"WITH {_L}, {_POPPED.format('fr')} SELECT rk, queue, url, priority FROM pop ORDER BY rk, queue LIMIT 500",
+    "frontier_pop_order_all": f"WITH {_L}, {_POPPED.format('fr')} SELECT queue, url, priority, rk FROM pop",
+    "frontier_round_robin_all": f"WITH {_L}, {_POPPED.format('fr')} SELECT rk, queue, url, priority FROM pop ORDER BY rk, queue",
     "frontier_pages": f"WITH {_L}, {_PAGED} SELECT queue, url, priority, page FROM pg",
     "frontier_page_max": f"WITH {_L}, {_PAGED} SELECT queue, page, min(url) AS lower, count(*) AS n, max(priority) AS value FROM pg GROUP BY queue, page",
     "frontier_lookup": f"WITH {_L}, {_PAGED} SELECT queue, url, page FROM pg",

@@ -222,3 +222,27 @@ def test_metrics(spark):
 def test_config(monkeypatch):
     monkeypatch.setenv("CRAWLER_DIR", "/x")
     assert load_config().root == "/x" and load_config(debug=True).index_cap == 100 and PROD.max_url_len == 250
+
+
+# ---- whole results, whatever the size ----
+
+
+def test_whole_frontier_is_popped(spark):
+    """Queues of more than 20 and frontiers of more than 500 urls come out whole, queues in turn."""
+    pri = spark.createDataFrame([(f"http://h.example/{i}", i % 7) for i in range(700)], "url string, priority long")
+    two = DEBUG.__class__(n_queues=2)
+    order = [tuple(r) for r in frontier.round_robin(frontier.pop_order(pri, two)).collect()]
+    assert len(order) == 700 and [r[:2] for r in order] == sorted(r[:2] for r in order)
+    for q in (0, 1):
+        mine = [(p, u) for _, k, u, p in order if k == q]
+        assert len(mine) > 20 and mine == sorted(mine, reverse=True)
+
+
+def test_whole_frontier_queries(spark):
+    from quarryline.plans import frontier as plans
+
+    from conftest import DATA
+
+    urls = rows(plans.frontier_priority(spark, str(DATA)).select("url"))
+    for name in ("frontier_pop_order_all", "frontier_round_robin_all"):
+        assert rows(plans.QUERIES[name](spark, str(DATA)).select("url")) == urls
