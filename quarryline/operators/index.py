@@ -83,8 +83,11 @@ def shard_ordinal(core: Column, db: Column, shards_per_core: int) -> Column:
 def merge_shards(postings: DataFrame, docs: DataFrame, shards_per_core: int, cfg: Config = PROD) -> tuple[DataFrame, DataFrame]:
     """All shards as one: doc_id becomes ordinal * shard size + doc_id.
 
-    Absent postings stay absent instead of becoming zeros, and a shard's
-    documents are taken once.
+    Cores are ``shards_per_core`` ordinals apart, or as many as the core with
+    the most shards needs, so ids never run together. Absent postings stay
+    absent instead of becoming zeros, and a shard's documents are taken once.
     """
-    big = shard_ordinal(F.col("core"), F.col("db"), shards_per_core) * cfg.index_cap + F.col("doc_id")
+    most = docs.agg(F.max("db")).first()[0]
+    apart = max(shards_per_core, 0 if most is None else most + 1)
+    big = shard_ordinal(F.col("core"), F.col("db"), apart) * cfg.index_cap + F.col("doc_id")
     return postings.select(big.alias("doc_id"), "term", "wt"), docs.select(big.alias("doc_id"), "url", "log2_terms")

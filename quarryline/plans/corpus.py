@@ -15,7 +15,7 @@ from . import sql
 
 ONE = replace(PROD, n_cores=1)
 SMALL = replace(PROD, index_cap=50, shard_size=50)
-DBS = 1000  # shards a core may have when shards are merged
+DBS = 1000  # shards that each core has room for when shards are merged; more if the data have more
 SEARCHES = {
     "search_one_term": "this",
     "search_two_terms": "and from",

@@ -246,3 +246,17 @@ def test_whole_frontier_queries(spark):
     urls = rows(plans.frontier_priority(spark, str(DATA)).select("url"))
     for name in ("frontier_pop_order_all", "frontier_round_robin_all"):
         assert rows(plans.QUERIES[name](spark, str(DATA)).select("url")) == urls
+
+
+def test_merge_of_more_shards_than_a_core_has_room_for(spark):
+    """Documents of different shards keep different ids, however many shards a core has."""
+    at = [(c, d, i) for c in range(2) for d in (0, 1, 2, 5) for i in range(3)]
+    docs = spark.createDataFrame([(*k, f"u{k}", 8) for k in at], "core int, db int, doc_id long, url string, log2_terms int")
+    postings = spark.createDataFrame([(*k, str(k), 1) for k in at], "core int, db int, doc_id long, term string, wt int")
+    cfg = DEBUG.__class__(index_cap=3)
+    merged, urls = index.merge_shards(postings, docs, 2, cfg)
+    assert merged.select("doc_id").distinct().count() == urls.select("doc_id").distinct().count() == len(at)
+    assert rows(merged.select("doc_id")) == rows(urls.select("doc_id"))
+    roomy, _ = index.merge_shards(postings, docs, 10, cfg)
+    assert rows(roomy.select("doc_id", "term")) == sorted(((c * 10 + d) * 3 + i, str((c, d, i))) for c, d, i in at)
+    assert index.merge_shards(postings.limit(0), docs.limit(0), 2, cfg)[0].count() == 0
