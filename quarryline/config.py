@@ -12,7 +12,7 @@ class Config:
 
     index_cap: int = 100_000  # documents per shard
     shard_size: int = 100_000  # scale of document frequencies
-    max_document_len: int = 256_000  # bytes of a page that are read
+    max_document_len: int = 256_000  # bytes of a page that a fetch reads
     max_url_len: int = 250
     min_n_tokens: int = 200
     min_log2_terms: int = 8  # shorter documents are no search results

@@ -47,7 +47,7 @@ def build_index(pages: DataFrame, cfg: Config = PROD, only_terms: list[str] | No
     """
     terms = F.col("terms") if only_terms is None else F.filter("terms", lambda t: t.isin(only_terms))
     n = F.size("terms").cast("long")
-    long = cut(page_terms(pages, cfg).where(n >= cfg.min_n_tokens).select("page_id", "url", n.alias("n_terms"), terms.alias("terms")))
+    long = cut(page_terms(pages).where(n >= cfg.min_n_tokens).select("page_id", "url", n.alias("n_terms"), terms.alias("terms")))
     docs = cut(assign_shards(long.select("page_id", "url", "n_terms", log2_floor(F.col("n_terms")).alias("log2_terms")), cfg))
     counted = long.select("page_id", "n_terms", F.explode("terms").alias("term")).groupBy("page_id", "n_terms", "term").agg(F.count(F.lit(1)).alias("cnt"))
     postings = counted.join(docs.select("page_id", "core", "db", "doc_id"), "page_id")

@@ -15,14 +15,17 @@ TERM = "[a-zA-Z]+"
 
 
 def capped(html: Column, n_bytes: int) -> Column:
-    """The first ``n_bytes`` bytes, a cut character replaced."""
+    """The first ``n_bytes`` bytes, a cut character replaced.
+
+    For a fetch step; stored pages are read whole.
+    """
     cut = F.make_valid_utf8(F.substring(html.cast("binary"), 1, n_bytes).cast("string"))
     return F.when(F.octet_length(html) > n_bytes, cut).otherwise(html)
 
 
-def text_nodes(html: Column, cfg: Config = PROD) -> Column:
+def text_nodes(html: Column) -> Column:
     """All text nodes of all sections, in order."""
-    sections = F.regexp_extract_all(capped(html, cfg.max_document_len), F.lit(SECTION), F.lit(0))
+    sections = F.regexp_extract_all(html, F.lit(SECTION), F.lit(0))
     return F.flatten(F.transform(sections, lambda s: F.regexp_extract_all(s, F.lit(TEXT_NODE), F.lit(1))))
 
 
@@ -31,12 +34,12 @@ def terms_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
 
 
-def page_terms(pages: DataFrame, cfg: Config = PROD) -> DataFrame:
+def page_terms(pages: DataFrame) -> DataFrame:
     """``pages`` with ``terms``: a page's terms in order, in one scan.
 
     The generator makes it one tokenisation a page, whatever is later asked of the terms.
     """
-    terms = F.flatten(F.transform(text_nodes(F.col("html"), cfg), terms_of))
+    terms = F.flatten(F.transform(text_nodes(F.col("html")), terms_of))
     return spread(pages.where(F.col("html").isNotNull())).select("*", F.explode(F.array(terms)).alias("terms")).drop("html")
 
 
@@ -71,7 +74,7 @@ def posting_weights(rows: DataFrame, cfg: Config = PROD) -> DataFrame:
 
 def article_terms(pages: DataFrame, cfg: Config = PROD) -> DataFrame:
     """(page_id, n_article_terms, n_terms): terms in text nodes of over 30 terms, and all."""
-    sizes = F.transform(text_nodes(F.col("html"), cfg), lambda t: F.regexp_count(t, F.lit(TERM)))
+    sizes = F.transform(text_nodes(F.col("html")), lambda t: F.regexp_count(t, F.lit(TERM)))
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x).cast("long")
     counts = spread(pages.where(F.col("html").isNotNull())).select("page_id", sizes.alias("s"))
     return counts.select("page_id", total(F.filter("s", lambda x: x > cfg.article_terms)).alias("n_article_terms"), total(F.col("s")).alias("n_terms"))

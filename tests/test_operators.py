@@ -260,3 +260,26 @@ def test_merge_of_more_shards_than_a_core_has_room_for(spark):
     roomy, _ = index.merge_shards(postings, docs, 10, cfg)
     assert rows(roomy.select("doc_id", "term")) == sorted(((c * 10 + d) * 3 + i, str((c, d, i))) for c, d, i in at)
     assert index.merge_shards(postings.limit(0), docs.limit(0), 2, cfg)[0].count() == 0
+
+
+def test_long_pages_are_read_whole(spark):
+    """Terms beyond the fetch step's 256,000 bytes count, as in the SQL."""
+    import duckdb
+
+    from quarryline.plans import corpus
+
+    html = "<body>" + "alpha <b>beta</b> é " * 20_000 + "omega " * 50 + "</body>"
+    df = page(spark, html, "<body>" + "gamma " * 300 + "</body>")
+    assert len(html.encode()) > PROD.max_document_len
+    terms = text.page_terms(df)
+    con = duckdb.connect()
+    con.sql("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [tuple(r) for r in df.collect()])
+    sql = lambda name, *cols: sorted(con.sql(f"SELECT {', '.join(cols)} FROM ({corpus.SQL[name]})").fetchall())
+    assert (0, "omega", 50) in rows(text.term_counts(terms, "page_id"))
+    assert rows(text.term_counts(terms, "page_id")) == sql("term_counts", "page_id", "term", "cnt")
+    assert rows(text.doc_lengths(terms)) == sql("doc_lengths", "page_id", "url", "n_terms", "log2_terms")
+    assert rows(text.posting_weights(terms)) == sql("posting_weights", "page_id", "term", "cnt", "wt")
+    assert rows(text.article_terms(df)) == sql("article_terms", "page_id", "n_article_terms", "n_terms")
+    docs, postings = index.build_index(df, corpus.SMALL)
+    assert rows(postings.where("term = 'omega'").select("doc_id", "cnt")) == [(0, 50)]
