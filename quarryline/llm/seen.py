@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, width
@@ -32,7 +32,7 @@ _VERDICTS = "gen int, id long, h long, hit boolean, audits long, audit_hits long
 def _walk(bits: int, audits: int):
     """Partition function over (gen, h, id), sorted by gen: verdicts and one audit row a sealed batch."""
 
-    def close(gen: int, h: np.ndarray, ids: np.ndarray, filters: list) -> Iterator[pa.RecordBatch]:
+    def close(gen: int, h: np.ndarray, ids: np.ndarray, filters: list, made: list) -> Iterator[pa.RecordBatch]:
         keys = h.view(np.uint64)
         if gen >= 0:
             hit = np.zeros(len(keys), bool)
@@ -46,13 +46,15 @@ def _walk(bits: int, audits: int):
         sealed = seal(keys, bits)
         filters.append(sealed)
         if audits:
-            # keys that are certainly absent: made up, and compared with the batch while it is still at hand
-            made = mix(np.arange(audits, dtype=np.uint64), 1_000_003 + gen)
-            made = made[~np.isin(made, keys)]
-            yield pa.RecordBatch.from_arrays([pa.array([gen], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([len(made)]), pa.array([int(sealed.contains(made).sum())])], ["gen", "id", "h", "hit", "audits", "audit_hits"])
+            # made-up keys in all filters that this batch was probed in; those of a batch are taken out while it is at hand
+            absent, matched = made
+            yield pa.RecordBatch.from_arrays([pa.array([gen], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([len(absent)]), pa.array([int(matched.sum())])], ["gen", "id", "h", "hit", "audits", "audit_hits"])
+            still = ~np.isin(absent, keys)
+            made[:] = absent[still], matched[still] | sealed.contains(absent[still])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters: list = []
+        made = [mix(np.arange(audits, dtype=np.uint64), 1_000_003), np.zeros(audits, bool)]
         gen, hs, ids = None, [], []
         for b in batches:
             g = b.column(0).to_numpy()
@@ -62,17 +64,22 @@ def _walk(bits: int, audits: int):
                 if a == z:
                     continue
                 if gen is not None and g[a] != gen:
-                    yield from close(gen, np.concatenate(hs), np.concatenate(ids), filters)
+                    yield from close(gen, np.concatenate(hs), np.concatenate(ids), filters, made)
                     hs, ids = [], []
                 gen = int(g[a])
                 hs.append(h[a:z])
                 ids.append(i[a:z])
         if hs:
-            yield from close(gen, np.concatenate(hs), np.concatenate(ids), filters)
+            yield from close(gen, np.concatenate(hs), np.concatenate(ids), filters, made)
 
     return walk
 
 
+def generation(id_: Column, low: int, high: int, generations: int = GENERATIONS) -> Column:
+    """The generation of an id between ``low`` and ``high``."""
+    return F.floor((id_ - low) / max(1, (high - low) // generations + 1)).cast("int")
+
+
 def first_of_generation(arrivals: DataFrame, history: DataFrame, low: int, high: int, generations: int = GENERATIONS) -> DataFrame:
     """(gen, key, id): each key once in each generation, with its smallest id.
 
@@ -80,8 +87,7 @@ def first_of_generation(arrivals: DataFrame, history: DataFrame, low: int, high:
     with id null. Equal keys are merged before they move, so a key of a third
     of all rows is one row a task.
     """
-    span = max(1, (high - low) // generations + 1)
-    gen = F.floor((F.col("id") - low) / span).cast("int")
+    gen = generation(F.col("id"), low, high, generations)
     rows = arrivals.select(gen.alias("gen"), "key", "id").unionByName(history.select(F.lit(-1).alias("gen"), "key", F.lit(None).cast("long").alias("id")))
     return rows.where(F.col("key").isNotNull()).groupBy("gen", "key").agg(F.min("id").alias("id")).withColumn("h", F.xxhash64("key"))
 
@@ -89,8 +95,9 @@ def first_of_generation(arrivals: DataFrame, history: DataFrame, low: int, high:
 def probe_generations(firsts: DataFrame, n_keys: int, bits: int = BITS, audits: int = 0) -> DataFrame:
     """Verdicts (gen, id, h, hit) of ``firsts`` against the filters of earlier generations.
 
-    With ``audits``, rows with a null id tell for each sealed batch how many
-    certainly absent keys were probed and how many of them matched.
+    With ``audits``, rows with a null id tell for each batch how many
+    certainly absent keys were probed in all filters that the batch was probed
+    in, and how many of them matched any.
     """
     shards = max(width(firsts.sparkSession), n_keys // SHARD_KEYS + 1)
     rows = firsts.select("gen", "h", F.coalesce("id", F.lit(-1)).alias("id"))
@@ -111,7 +118,8 @@ def _refuted(firsts: DataFrame, verdicts: DataFrame) -> DataFrame:
 def _prepare(jobs: DataFrame, history: DataFrame, id_col: str, key_col: str) -> tuple[DataFrame, DataFrame, int]:
     arrivals = jobs.select(F.col(id_col).alias("id"), F.col(key_col).alias("key")).where(F.col("key").isNotNull() & F.col("id").isNotNull())
     low, high, n = arrivals.agg(F.min("id"), F.max("id"), F.count(F.lit(1))).first()
-    return arrivals, first_of_generation(arrivals, history, low or 0, high or 0), n
+    low, high = low or 0, high or 0
+    return arrivals.withColumn("gen", generation(F.col("id"), low, high)), first_of_generation(arrivals, history, low, high), n
 
 
 def seen_before(jobs: DataFrame, history: DataFrame, id_col: str, key_col: str, bits: int = BITS) -> DataFrame:
@@ -131,21 +139,26 @@ def seen_before(jobs: DataFrame, history: DataFrame, id_col: str, key_col: str,
 
 
 def seen_report(jobs: DataFrame, history: DataFrame, id_col: str, key_col: str, bits: int = BITS) -> DataFrame:
-    """For each generation: keys probed, positives, wrong answers and their rate, and the audit's rate.
-
-    ``wrong`` counts positives that the exact check refutes; negatives are
-    never wrong. ``wrong_rate`` is their share of the generation's keys,
-    ``audit_rate`` the share of certainly absent keys that matched its filter.
-    Generation -1 is the history, which is not probed.
+    """For each generation and, with a null ``gen``, for all rows: rows, keys probed, positives, wrong answers and their rate, and the audit's rate.
+
+    ``wrong`` counts positives that the exact check refutes. Each is one row's
+    answer: a key's further rows in a generation are told exactly, and
+    negatives are never wrong. ``wrong_rate`` is their share of the rows,
+    ``audit_rate`` the share of certainly absent keys that matched any of the
+    filters that the generation's keys are probed in. Generation -1 is the
+    history, which has no rows to answer, is not probed and not in the total.
     """
-    _, firsts, n = _prepare(jobs, history, id_col, key_col)
+    arrivals, firsts, n = _prepare(jobs, history, id_col, key_col)
     verdicts = cut(probe_generations(firsts, n, bits, AUDITS))
     bad = _refuted(firsts, verdicts).withColumn("wrong", F.lit(1))
-    rows = verdicts.join(bad, "id", "left")
-    each = rows.groupBy("gen").agg(
+    answers = verdicts.join(bad, "id", "left")
+    each = answers.groupBy("gen").agg(
         F.count("id").alias("keys"), F.count_if(F.coalesce("hit", F.lit(False))).alias("positives"), F.count("wrong").alias("wrong"), F.sum("audits").alias("audits"), F.sum("audit_hits").alias("audit_hits")
     )
-    return each.select("gen", "keys", "positives", "wrong", F.try_divide("wrong", "keys").alias("wrong_rate"), "audits", F.try_divide("audit_hits", "audits").alias("audit_rate"))
+    each = cut(each.join(arrivals.groupBy("gen").agg(F.count(F.lit(1)).alias("rows")), "gen", "left").withColumn("rows", F.coalesce("rows", F.lit(0))))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in each.columns if c != "gen"]
+    both = each.unionByName(each.where("gen >= 0").agg(F.lit(None).cast("int").alias("gen"), *sums))
+    return both.select("gen", "rows", "keys", "positives", "wrong", F.try_divide("wrong", "rows").alias("wrong_rate"), "audits", F.try_divide("audit_hits", "audits").alias("audit_rate"))
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +172,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The rate of wrong answers by generation of jobs."""
+    """The rate of wrong answers over rows of jobs, by generation and in total."""
     return seen_report(read_table(spark, sf, "jobs"), _history(spark, sf), "job_id", "url")
 
 

@@ -236,3 +236,21 @@ def test_hidden_duplicates(spark, hot):
     assert rows(members) == [(10, 11), (10, 12), (10, 13), (16, 17), (20, 21), (20, 22), (20, 23)]
     groups, members = canon.hidden_duplicates(df.limit(0), "id", "t", canon.runs, hot)
     assert rows(groups) == rows(members) == []
+
+
+# ---- the report's rates ----
+
+
+def test_report_rates_are_those_of_rows(spark):
+    """A hot key counts with all its rows, a total comes out, and absent keys meet as many filters as a generation's."""
+    jobs = [(i, "hot" if i % 3 == 0 else f"u{i}") for i in range(3_200)] + [(None, "u1"), (5_000_000, None)]
+    df = spark.createDataFrame(jobs, "job_id long, url string")
+    history = spark.createDataFrame([(f"old{i}",) for i in range(200)], "key string")
+    report = {r.gen: r for r in seen.seen_report(df, history, "job_id", "url", 1).collect()}
+    assert set(report) == {None, *range(-1, 16)}
+    gens = [report[g] for g in range(16)]
+    assert all(r.rows == 200 and r.keys < r.rows and r.wrong_rate == r.wrong / r.rows for r in gens)
+    total = report[None]
+    assert total.rows == 3_200 and total.wrong == sum(r.wrong for r in gens) > 0 and total.wrong_rate == total.wrong / 3_200
+    assert report[-1].rows == report[-1].audit_rate == 0
+    assert 0.3 < gens[0].audit_rate < 0.7 and gens[15].audit_rate > 0.9
