@@ -131,12 +131,23 @@ def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return read_table(spark, sf, "docs"), postings
 
 
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, text) of the recorded queries."""
+    asked = read_table(spark, sf, "search_results").select("query_id", F.col("query_text").alias("text")).where("text is not null and query_id is not null")
+    return asked.groupBy("query_id").agg(F.min("text").alias("text"))
+
+
 def search_recorded(spark: SparkSession, sf: str) -> DataFrame:
-    """Every recorded query text, answered over the stored index in one plan."""
+    """Every recorded query text, answered over the stored index in one plan; documents without a stored length are no results."""
     docs, postings = _stored(spark, sf)
-    asked = read_table(spark, sf, "search_results").select("query_id", F.col("query_text").alias("text")).where("text is not null and query_id is not null")
-    one = asked.groupBy("query_id").agg(F.min("text").alias("text"))
-    return search.search(postings, docs, search.split_queries(one), PROD)
+    return search.search(postings, docs, search.split_queries(_asked(spark, sf)), PROD)
+
+
+def search_recorded_all(spark: SparkSession, sf: str) -> DataFrame:
+    """``search_recorded`` with missing lengths taken from ``n_terms``, so that every long document can be a result."""
+    docs, postings = _stored(spark, sf)
+    docs = docs.withColumn("log2_terms", F.coalesce("log2_terms", text.log2_floor(F.col("n_terms"))))
+    return search.search(postings, docs, search.split_queries(_asked(spark, sf)), PROD)
 
 
 def query_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +156,7 @@ def query_words(spark: SparkSession, sf: str) -> DataFrame:
     return asked.select("query_text", F.posexplode(search.query_terms(F.col("query_text"))).alias("pos", "term"))
 
 
-_FNS = [term_counts, doc_lengths, posting_weights, doc_text_terms, article_terms, shard_assignment, posting_lists, doc_frequency_idf, term_max_weight, shard_vocabulary, shard_keys, shard_merge, posting_runs, posting_decoded, scanned_count, search_recorded, query_words]
+_FNS = [term_counts, doc_lengths, posting_weights, doc_text_terms, article_terms, shard_assignment, posting_lists, doc_frequency_idf, term_max_weight, shard_vocabulary, shard_keys, shard_merge, posting_runs, posting_decoded, scanned_count, search_recorded, search_recorded_all, query_words]
 QUERIES = {f.__name__: f for f in _FNS} | {k: _search(w, ONE) for k, w in SEARCHES.items()} | {"search_multi_shard": _search("is that this", SMALL)}
 
 _IX = sql.index(SMALL)
@@ -182,6 +193,11 @@ SQL = {
              po AS (SELECT core, db, doc_id, trim(lower(term)) AS term, CAST(least(sum(wt), 255) AS INTEGER) AS wt FROM raw GROUP BY ALL),
              d AS (SELECT * FROM docs),
              {sql.search(PROD, "SELECT query_id, min(query_text) AS text FROM search_results WHERE query_text IS NOT NULL AND query_id IS NOT NULL GROUP BY query_id")} {_OUT}""",
+    "search_recorded_all": f"""
+        WITH raw AS (SELECT DISTINCT core, db, doc_id, term, cnt, wt FROM postings WHERE term IS NOT NULL),
+             po AS (SELECT core, db, doc_id, trim(lower(term)) AS term, CAST(least(sum(wt), 255) AS INTEGER) AS wt FROM raw GROUP BY ALL),
+             d AS (SELECT * REPLACE (coalesce(log2_terms, CAST(length(bin(n_terms)) - 1 AS INTEGER)) AS log2_terms) FROM docs),
+             {sql.search(PROD, "SELECT query_id, min(query_text) AS text FROM search_results WHERE query_text IS NOT NULL AND query_id IS NOT NULL GROUP BY query_id")} {_OUT}""",
     "query_words": """
         WITH t AS (SELECT DISTINCT query_text, list_filter(regexp_split_to_array(lower(query_text), '\\s+'), lambda x: x <> '') AS w FROM search_results WHERE query_text IS NOT NULL)
         SELECT query_text, CAST(unnest(range(len(w))) AS INTEGER) AS pos, unnest(w) AS term FROM t""",

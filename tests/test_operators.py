@@ -283,3 +283,15 @@ def test_long_pages_are_read_whole(spark):
     assert rows(text.article_terms(df)) == sql("article_terms", "page_id", "n_article_terms", "n_terms")
     docs, postings = index.build_index(df, corpus.SMALL)
     assert rows(postings.where("term = 'omega'").select("doc_id", "cnt")) == [(0, 50)]
+
+
+def test_recorded_search_reaches_documents_without_stored_length(spark, tmp_path):
+    """A null log2_terms is taken from n_terms, so the document can be a result."""
+    from quarryline.plans import corpus
+
+    docs = [(0, 0, 1, 1, "a", 300, None), (0, 0, 2, 2, "b", 255, None), (0, 0, 3, 3, "c", 300, 8), (0, 0, 4, 4, "d", None, None)]
+    spark.createDataFrame(docs, "core int, db int, doc_id long, page_id long, url string, n_terms long, log2_terms int").write.parquet(f"{tmp_path}/docs.parquet")
+    spark.createDataFrame([(0, 0, i, "x", 9, 90) for i in range(1, 5)], "core int, db int, doc_id long, term string, cnt long, wt int").write.parquet(f"{tmp_path}/postings.parquet")
+    spark.createDataFrame([(7, "x")], "query_id long, query_text string").write.parquet(f"{tmp_path}/search_results.parquet")
+    got = corpus.QUERIES["search_recorded_all"](spark, str(tmp_path))
+    assert rows(got.select("query_id", "pos", "url", "log2_terms")) == [(7, 1, "a", 8), (7, 2, "c", 8)]
