@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..sources import read_table
 from .clean import CLEAN_SQL, RECORD, clean_postings
 
 HOT_ROWS = 100_000
+_ROUNDING = 1e-6
 
 
 def term_spread(postings: DataFrame) -> DataFrame:
@@ -45,6 +48,17 @@ def log_entropy(postings: DataFrame, n_records: int, hot_rows: int = HOT_ROWS) -
     return scored.withColumn("score", score)
 
 
+def candidates(scored: DataFrame, n_records: int, most: int) -> DataFrame:
+    """Rows of ``log_entropy`` whose score a term of at most ``most`` records can have.
+
+    Such a term's entropy is at most log2(most), so its score is at least
+    log2(1 + cnt) * (1 - log2(most) / log2(n_records)). Every such row comes
+    out; others of uneven terms may, too.
+    """
+    least = max(0.0, 1.0 - math.log2(most) / math.log2(n_records)) if n_records > 1 else 1.0
+    return scored.where(F.col("score") >= F.log2(1.0 + F.greatest("cnt", F.lit(0))) * least - _ROUNDING)
+
+
 def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     postings = cut(clean_postings(read_table(spark, sf, "postings")))
     n = read_table(spark, sf, "docs").count()
@@ -52,8 +66,9 @@ def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms that make up at least 4 % of a document and that few documents hold."""
+    """Terms that make up at least 4 % of a document and that few documents hold: by a bound on the score, then exactly."""
     scored, n = _scored(spark, sf)
+    scored = candidates(scored, n, max(3, n // 100))
     few = (F.col("records") <= 3) | (F.col("records") * 100 <= n)
     docs = read_table(spark, sf, "docs").select(*(F.col(c).alias(f"d_{c}") for c in RECORD), "n_terms")
     same = [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in RECORD]

@@ -254,3 +254,15 @@ def test_report_rates_are_those_of_rows(spark):
     assert total.rows == 3_200 and total.wrong == sum(r.wrong for r in gens) > 0 and total.wrong_rate == total.wrong / 3_200
     assert report[-1].rows == report[-1].audit_rate == 0
     assert 0.3 < gens[0].audit_rate < 0.7 and gens[15].audit_rate > 0.9
+
+
+def test_score_bound_keeps_every_term_of_few_records(spark):
+    """The score's bound loses no term of at most so many records, and drops even terms of many."""
+    rnd = random.Random(4)
+    data = [(0, 0, d, f"t{k}", rnd.choice([-1, 0, 1, 1, 5, 400])) for k in range(1, 25) for d in rnd.sample(range(200), k)] + [(0, 0, d, "all", 3) for d in range(200)]
+    scored = distinctive.log_entropy(spark.createDataFrame(data, "core int, db int, doc_id long, term string, cnt long"), 200)
+    for most in (1, 3, 10):
+        got = distinctive.candidates(scored, 200, most)
+        assert rows(got.where(F.col("records") <= most).select("doc_id", "term")) == sorted((d, t) for _, _, d, t, _ in data if t != "all" and int(t[1:]) <= most)
+        assert got.where("term = 'all'").count() == 0
+    assert distinctive.candidates(scored, 2, 3).count() == distinctive.candidates(scored, 200, 200).count() == len(data)
