@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources import read_table
 from .clean import RECORD, distinct_postings
 
 RARE_BELOW = 3
 COMMON_OVER = 5
+MAX_WORDS = 3  # of an n-gram of documents
 _COUNTS = "gram array<string>, occurrences long, records long"
 
 
@@ -191,7 +193,14 @@ def p2_query_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     return counts.select(F.array_join("gram", " ").alias("gram"), F.size("gram").alias("n"), "occurrences", "records")
 
 
-QUERIES = {"p2_found": p2_found, "p2_terms": p2_terms, "p2_query_ngrams": p2_query_ngrams}
+def p2_document_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    """N-grams of up to MAX_WORDS words of whole documents, with the documents that hold them; words are what ASCII white space separates, as written."""
+    words = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    counts = ngram_counts(spread(read_table(spark, sf, "documents")).select(words.alias("words")), "words", MAX_WORDS)
+    return counts.select(F.array_join("gram", " ").alias("gram"), F.size("gram").alias("n"), "occurrences", "records")
+
+
+QUERIES = {"p2_found": p2_found, "p2_terms": p2_terms, "p2_query_ngrams": p2_query_ngrams, "p2_document_ngrams": p2_document_ngrams}
 
 _RAW_SQL = """
     raw AS (SELECT DISTINCT core, db, doc_id, term, cnt, wt FROM postings WHERE term IS NOT NULL),
@@ -209,4 +218,9 @@ SQL = {
              g AS (SELECT r, n, unnest(list_transform(range(1, greatest(len(words) - n + 2, 1)), lambda i: array_to_string(words[i:i+n-1], ' '))) AS gram
                    FROM w, (VALUES (1), (2), (3)) AS v(n))
         SELECT gram, n, count(*) AS occurrences, count(DISTINCT r) AS records FROM g GROUP BY gram, n""",
+    "p2_document_ngrams": r"""
+        WITH w AS (SELECT doc_id AS r, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM documents),
+             g AS (SELECT r, n, unnest(list_transform(range(1, greatest(len(words) - n + 2, 1)), lambda i: array_to_string(words[i:i+n-1], ' '))) AS gram
+                   FROM w, (VALUES (1), (2), (3)) AS v(n))
+        SELECT gram, n, count(*) AS occurrences, count(DISTINCT r) AS records FROM g GROUP BY gram, n""",
 }

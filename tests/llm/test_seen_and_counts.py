@@ -266,3 +266,11 @@ def test_score_bound_keeps_every_term_of_few_records(spark):
         assert rows(got.where(F.col("records") <= most).select("doc_id", "term")) == sorted((d, t) for _, _, d, t, _ in data if t != "all" and int(t[1:]) <= most)
         assert got.where("term = 'all'").count() == 0
     assert distinctive.candidates(scored, 2, 3).count() == distinctive.candidates(scored, 200, 200).count() == len(data)
+
+
+def test_document_ngrams(spark, tmp_path):
+    """Whole texts, whatever their words' script, have their n-grams of up to three words."""
+    texts = ["a b a b", "a\tb  é", None, " ", "x " * 5_000 + "last"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.gram: (r.n, r.occurrences, r.records) for r in termfreq.QUERIES["p2_document_ngrams"](spark, str(tmp_path)).collect()}
+    assert got["a b"] == (2, 3, 2) and got["a b é"] == (3, 1, 1) and got["x x x"] == (3, 4_998, 1) and got["x x last"] == (3, 1, 1)
