@@ -14,12 +14,15 @@ class Config:
     shard_size: int = 100_000  # scale of document frequencies
     max_document_len: int = 256_000  # bytes of a page that a fetch reads
     max_url_len: int = 250
+    max_robots_len: int = 256_000  # bytes; the legacy crawler ignores longer files
     min_n_tokens: int = 200
     min_log2_terms: int = 8  # shorter documents are no search results
     top_k: int = 20
     n_queues: int = 64
     page_capacity: int = 60
     min_run_len: int = 32
+    work_queue_cap: int = 250  # jobs that wait for a worker
+    work_empty_threshold: int = 10  # fewer waiting jobs make a worker idle
     cross_domain_bonus: int = 1
     article_terms: int = 30
     print_prob: float = 0.002
@@ -29,6 +32,7 @@ class Config:
 
 PROD = Config()
 DEBUG = replace(PROD, index_cap=100, n_queues=4)
+LEGACY = replace(PROD, min_n_tokens=0, max_url_len=300, index_cap=300_000)
 
 
 def load_config(debug: bool = False) -> Config:

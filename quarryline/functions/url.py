@@ -113,9 +113,13 @@ def parse_urls(df: DataFrame, url: str, into: str = "u") -> DataFrame:
     return df.select("*", F.explode(F.array(address(F.col(url)))).alias(into))
 
 
-def resolve(base: str, href: str) -> Column:
+def resolve(base: str, href: Column) -> Column:
     """``href`` against the parsed base struct (P09), not yet parsed itself."""
-    b, h = (lambda x: F.col(f"{base}.{x}")), trimmed(F.col(href))
+    return let(trimmed(href), lambda h: _joined(base, h))
+
+
+def _joined(base: str, h: Column) -> Column:
+    b = lambda x: F.col(f"{base}.{x}")
     site = F.concat(b("scheme"), F.lit("://"), b("authority"))
     slash = h.rlike(r"^[/\\]")
     return (

@@ -1,4 +1,4 @@
-"""The frontier in batch: priorities, pop order, pages of urls."""
+"""The frontier in batch: priorities, pop order, pages of urls."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PROD, Config
+from ..functions.hashing import hashed
+from ..session import cut, width
+from .links import page_links
+from .ordering import best, ranked
 
 
 def priorities(links: DataFrame) -> DataFrame:
@@ -15,7 +19,7 @@ def priorities(links: DataFrame) -> DataFrame:
 
 def queue_of(url: Column, n_queues: int) -> Column:
     """The queue of a url (P14, D01), from its MD5 so that any engine agrees."""
-    return F.pmod(F.conv(F.substring(F.md5(url), 1, 8), 16, 10).cast("long"), F.lit(n_queues)).cast("int")
+    return hashed(url, n_queues)
 
 
 def unseen(urls: DataFrame, seen: DataFrame) -> DataFrame:
@@ -23,17 +27,27 @@ def unseen(urls: DataFrame, seen: DataFrame) -> DataFrame:
     return urls.join(seen.select("url").where("url is not null").distinct(), "url", "left_anti")
 
 
+def waiting(frontier: DataFrame) -> DataFrame:
+    """Rows that were not popped (F13); a frontier without ``popped`` waits as a whole, a null waits too."""
+    return frontier.where(~F.coalesce("popped", F.lit(False))) if "popped" in frontier.columns else frontier
+
+
+def _queued(frontier: DataFrame, cfg: Config) -> DataFrame:
+    return waiting(frontier).select(queue_of(F.col("url"), cfg.n_queues).alias("queue"), "url", "priority")
+
+
 def pop_order(frontier: DataFrame, cfg: Config = PROD, first: int | None = None) -> DataFrame:
     """(queue, rk, url, priority): highest priority first, then the greatest url.
 
-    With ``first``, only the best so many of each queue, which limits rows
-    before they are shuffled. Rows with a true ``popped`` column are passed over.
+    Queues are numbered by one range shuffle, so a queue may hold any share of
+    the frontier. With ``first``, only the best so many of each queue are.
+    Rows with a true ``popped`` column are passed over.
     """
-    rows = frontier.where(~F.col("popped")) if "popped" in frontier.columns else frontier
-    rows = rows.select(queue_of(F.col("url"), cfg.n_queues).alias("queue"), "url", "priority")
-    w = Window.partitionBy("queue").orderBy(F.col("priority").desc(), F.col("url").desc())
-    rows = rows.withColumn("rk", F.row_number().over(w))
-    return rows if first is None else rows.where(F.col("rk") <= first)
+    order = [F.col("priority").desc(), F.col("url").desc()]
+    rows = cut(_queued(frontier, cfg))
+    if first is not None:
+        return best(rows, ["queue"], order, first)
+    return ranked(rows, ["queue"], order, "rk").withColumn("rk", (F.col("rk") + 1).cast("int"))
 
 
 def round_robin(popped: DataFrame, limit: int | None = None) -> DataFrame:
@@ -45,19 +59,83 @@ def round_robin(popped: DataFrame, limit: int | None = None) -> DataFrame:
 def url_pages(frontier: DataFrame, ranges: DataFrame) -> DataFrame:
     """``frontier`` with the page that contains each url.
 
-    ``ranges``: (queue, page, lower, upper), half open, null is unbounded; pages of a queue don't overlap.
+    ``ranges``: (queue, page, lower, upper), half open, null is unbounded;
+    pages of a queue don't overlap. Lower bounds and urls are put in one order
+    by a range shuffle, and each url takes the last bound before it: inside
+    its partition, or the last one of an earlier partition. No url meets any
+    other page, so this is a sort and no inequality join. Urls outside all
+    pages have no row.
     """
-    inside = (F.col("lower").isNull() | (F.col("url") >= F.col("lower"))) & (F.col("upper").isNull() | (F.col("url") < F.col("upper")))
-    return frontier.join(ranges.withColumnRenamed("queue", "__q"), (F.col("queue") == F.col("__q")) & inside).drop("__q", "lower", "upper")
+    spark = frontier.sparkSession
+    bound = F.struct("page", "upper")
+    bounds = ranges.select("queue", F.coalesce("lower", F.lit("")).alias("at"), F.lit(0).alias("kind"), bound.alias("bound"), F.lit(None).cast("long").alias("priority"))
+    urls = frontier.select("queue", F.col("url").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(bounds.schema["bound"].dataType).alias("bound"), "priority")
+    order = ["queue", "at", "kind"]
+    rows = bounds.unionByName(urls).repartitionByRange(width(spark), *order).sortWithinPartitions(*order)
+    rows = cut(rows.withColumn("place", F.monotonically_increasing_id())).withColumn("part", F.shiftright("place", 33).cast("int"))
+    # the last bound of each piece, carried on over pieces without one; a piece is one queue's rows in one partition
+    last = rows.groupBy("queue", "part").agg(F.max_by("bound", F.when(F.col("kind") == 0, F.col("place"))).alias("last"))
+    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(F.col("queue").alias("q"), F.col("part").alias("p"), F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    inside = Window.partitionBy("queue", "part").orderBy("place")
+    rows = rows.withColumn("mine", F.last("bound", ignorenulls=True).over(inside)).where("kind = 1")
+    rows = rows.join(carried, (F.col("queue") == F.col("q")) & (F.col("part") == F.col("p"))).withColumn("found", F.coalesce("mine", "carried"))
+    hit = F.col("found").isNotNull() & (F.col("found.upper").isNull() | (F.col("at") < F.col("found.upper")))
+    return rows.where(hit).select("queue", F.col("at").alias("url"), "priority", F.col("found.page").alias("page"))
 
 
 def split_pages(frontier: DataFrame, cfg: Config = PROD) -> DataFrame:
-    """(queue, url, priority, page): a queue's urls in order, cut into pages of ``page_capacity``."""
-    rows = frontier.select(queue_of(F.col("url"), cfg.n_queues).alias("queue"), "url", "priority")
-    w = Window.partitionBy("queue").orderBy("url")
-    return rows.withColumn("page", F.floor((F.row_number().over(w) - 1) / cfg.page_capacity).cast("long"))
+    """(queue, url, priority, popped, page): a queue's urls in order, cut into pages of ``page_capacity``.
+
+    Popped urls keep their place in a page; ``popped`` is false where the
+    frontier has no such column.
+    """
+    popped = F.coalesce("popped", F.lit(False)) if "popped" in frontier.columns else F.lit(False)
+    rows = cut(frontier.select(queue_of(F.col("url"), cfg.n_queues).alias("queue"), "url", "priority", popped.alias("popped")))
+    numbered = ranked(rows, ["queue"], [F.col("url").asc()], "n")
+    return numbered.withColumn("page", F.expr(f"n div {cfg.page_capacity}")).drop("n")
 
 
 def page_values(pages: DataFrame) -> DataFrame:
-    """(queue, page, lower, n, value): a page's first url, size and highest priority."""
-    return pages.groupBy("queue", "page").agg(F.min("url").alias("lower"), F.count(F.lit(1)).alias("n"), F.max("priority").alias("value"))
+    """(queue, page, lower, n, value): a page's first url, size and highest waiting priority, 0 if none waits."""
+    top = F.coalesce(F.max(F.when(~F.col("popped"), F.col("priority"))), F.lit(0))
+    return pages.groupBy("queue", "page").agg(F.min("url").alias("lower"), F.count(F.lit(1)).alias("n"), top.alias("value"))
+
+
+def incremented(frontier: DataFrame, increments: DataFrame) -> DataFrame:
+    """(url, priority, popped) after increments (url, inc): a popped url still counts but stays popped."""
+    have = frontier.select("url", "priority", "popped")
+    more = increments.select("url", F.col("inc").alias("priority"), F.lit(False).alias("popped"))
+    return have.unionByName(more).groupBy("url").agg(F.sum("priority").alias("priority"), F.bool_or("popped").alias("popped"))
+
+
+def popped_now(frontier: DataFrame, per_queue: int, cfg: Config = PROD) -> DataFrame:
+    """The ``per_queue`` best waiting urls of each queue."""
+    return best(_queued(frontier, cfg), ["queue"], [F.col("priority").desc(), F.col("url").desc()], per_queue).drop("rk")
+
+
+def crawl(pages: DataFrame, roots: DataFrame, rounds: int, per_queue: int, cfg: Config = PROD) -> tuple[DataFrame, DataFrame]:
+    """(jobs, frontier) after so many rounds of the crawl loop.
+
+    A round pops each queue's best urls, takes their pages for fetched, and
+    puts the links of those that were indexed back as increments; a url is
+    popped once, and its page's links count in the round it is popped in.
+    Pages are found by their address without query. ``pages``: (page_id, url, html), ``roots``: (url, inc). jobs: (round, queue,
+    url, priority). State is written to the shared folder each round, so the
+    lineage stays short.
+    """
+    spark = pages.sparkSession
+    links = cut(page_links(pages, cfg).select("source", "url", "inc"))
+    none = spark.createDataFrame([], "url string, priority long, popped boolean")
+    frontier = cut(incremented(none, roots))
+    done = []
+    for n in range(rounds):
+        jobs = cut(popped_now(frontier, per_queue, cfg).withColumn("round", F.lit(n)))
+        done.append(jobs)
+        follow = links.join(jobs.select(F.col("url").alias("source")), "source", "left_semi").select("url", "inc")
+        marks = jobs.select("url", F.lit(0).cast("long").alias("priority"), F.lit(True).alias("popped"))
+        frontier = cut(incremented(frontier.unionByName(marks), follow))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select("round", "queue", "url", "priority"), frontier

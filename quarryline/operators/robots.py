@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import PROD, Config
 from .skew import lookup_join
 
 #: The lines that matter, and the agents that obey.
@@ -42,9 +43,16 @@ def allowed(urls: DataFrame, rules: DataFrame, hot_rows: int = 100_000) -> DataF
     """``urls`` (with host and path) plus ``allowed``: no prefix of the host's rules begins the path.
 
     A host's rules travel as one array to its urls, so a url is one row all
-    along; hosts without rules allow everything.
+    along; hosts without rules allow everything. ``urls`` is read to count
+    hosts and again to join: hand over a stored table.
     """
     packed = rules.groupBy("host").agg(F.collect_set("prefix").alias("__prefixes"))
     joined = lookup_join(urls, packed, "host", hot_rows, "left")
     blocked = F.exists("__prefixes", lambda p: F.col("path").startswith(p))
     return joined.withColumn("allowed", ~F.coalesce(blocked, F.lit(False))).drop("__prefixes")
+
+
+def legacy_rules(files: DataFrame, host: str, body: str, cfg: Config = PROD) -> DataFrame:
+    """``robots_rules`` without the files that the legacy crawler ignores: those too long or not valid UTF-8."""
+    fit = (F.octet_length(body) <= cfg.max_robots_len) & F.is_valid_utf8(body)
+    return robots_rules(files.where(fit), host, body)

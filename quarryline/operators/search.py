@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..config import PROD, Config
 
 SHARD = ["core", "db"]
-MAX_WORDS = 10_000
 
 
 def query_terms(text: Column) -> Column:
@@ -46,9 +45,9 @@ def term_figures(postings: DataFrame, scale: int) -> DataFrame:
 
 
 def queries_table(spark: SparkSession, texts: dict[int, str]) -> DataFrame:
-    """(query_id, term, mult, n_terms) of given queries."""
+    """(query_id, term, mult, n_terms) of given queries, which came from the driver and so may be broadcast."""
     rows = spark.createDataFrame(list(texts.items()), "query_id long, text string")
-    return split_queries(rows)
+    return F.broadcast(split_queries(rows))
 
 
 def split_queries(rows: DataFrame) -> DataFrame:
@@ -58,9 +57,14 @@ def split_queries(rows: DataFrame) -> DataFrame:
 
 
 def _hits(postings: DataFrame, queries: DataFrame) -> DataFrame:
-    """Postings of query terms. So many query words as MAX_WORDS are broadcast, so a usual term's postings stay where they are; beyond that both sides are shuffled."""
-    few = queries.limit(MAX_WORDS + 1).count() <= MAX_WORDS
-    return postings.join(F.broadcast(queries) if few else queries, "term")
+    """Postings of query terms.
+
+    Queries given by the driver carry a broadcast hint, so a usual term's
+    postings stay where they are. A table of queries is joined by what
+    adaptive execution finds: broadcast if it is small, otherwise shuffled,
+    with the postings of a usual term split over several tasks.
+    """
+    return postings.join(queries, "term")
 
 
 def matches(postings: DataFrame, queries: DataFrame, cfg: Config = PROD) -> DataFrame:
@@ -86,11 +90,12 @@ def search(postings: DataFrame, docs: DataFrame, queries: DataFrame, cfg: Config
     are no results. An empty query, or one with a term that no document
     holds, has no rows.
     """
-    long = docs.where(F.col("log2_terms") >= cfg.min_log2_terms).select(*SHARD, "doc_id", "url", "log2_terms")
-    found = matches(postings, queries, cfg).join(long.select(*SHARD, "doc_id"), [*SHARD, "doc_id"], "left_semi")
+    long = docs.where(F.col("log2_terms") >= cfg.min_log2_terms).select(*SHARD, "doc_id", "log2_terms")
+    found = matches(postings, queries, cfg).join(long, [*SHARD, "doc_id"])
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *SHARD, "doc_id")
     best = found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= cfg.top_k)
-    return best.join(long, [*SHARD, "doc_id"]).select("query_id", "pos", "url", "score", "log2_terms", *SHARD, "doc_id")
+    urls = docs.select(*SHARD, "doc_id", "url")  # only for the best (J03)
+    return best.join(urls, [*SHARD, "doc_id"]).select("query_id", "pos", "url", "score", "log2_terms", *SHARD, "doc_id")
 
 
 def scanned(postings: DataFrame, queries: DataFrame, cfg: Config = PROD) -> DataFrame:

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import PROD, Config
+from ..config import LEGACY, PROD, Config
 from ..session import spread
 
 #: A page's sections, its text nodes, its terms.
 SECTION = r"(?s)<(body|/script|/style)([^<>]*)>.*?(</body>|<script|<style)"
 TEXT_NODE = ">([^<>]+)"
 TERM = "[a-zA-Z]+"
+#: Fixed value: the legacy crawler's section, which runs to the end of the page.
+LEGACY_SECTION = "(?s)<body[^<>]*>.*"
 
 
 def capped(html: Column, n_bytes: int) -> Column:
     """The first ``n_bytes`` bytes, a cut character replaced.
 
-    For a fetch step; stored pages are read whole.
+    This is what a crawler reads of a body, so links are taken from it; the
+    index of stored pages reads them whole.
     """
     cut = F.make_valid_utf8(F.substring(html.cast("binary"), 1, n_bytes).cast("string"))
     return F.when(F.octet_length(html) > n_bytes, cut).otherwise(html)
@@ -34,6 +37,11 @@ def terms_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
 
 
+def n_terms(html: Column) -> Column:
+    """The number of terms of a page (A02), without building them."""
+    return F.aggregate(text_nodes(html), F.lit(0), lambda n, t: n + F.regexp_count(t, F.lit(TERM)))
+
+
 def page_terms(pages: DataFrame) -> DataFrame:
     """``pages`` with ``terms``: a page's terms in order, in one scan.
 
@@ -78,3 +86,13 @@ def article_terms(pages: DataFrame, cfg: Config = PROD) -> DataFrame:
     total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x).cast("long")
     counts = spread(pages.where(F.col("html").isNotNull())).select("page_id", sizes.alias("s"))
     return counts.select("page_id", total(F.filter("s", lambda x: x > cfg.article_terms)).alias("n_article_terms"), total(F.col("s")).alias("n_terms"))
+
+
+def legacy_terms(pages: DataFrame, cfg: Config = LEGACY) -> DataFrame:
+    """(page_id, url, terms) by the legacy rule (L01, L02): one section from the first body tag to the end, scripts included, pages of any length.
+
+    Pages without a body tag are not indexed; the body is what was read of it (S02).
+    """
+    body = F.regexp_extract(capped(F.col("html"), cfg.max_document_len), LEGACY_SECTION, 0)
+    terms = F.flatten(F.transform(F.regexp_extract_all(body, F.lit(TEXT_NODE), F.lit(1)), terms_of))
+    return spread(pages.where(F.col("html").rlike("<body[^<>]*>"))).select("page_id", "url", F.explode(F.array(terms)).alias("terms"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import PROD
 from ..operators import index as I
 from ..operators import rle, search, text
+from ..session import cut, shared_path
 from ..sources import read_table
 from . import sql
 
@@ -123,11 +124,16 @@ def scanned_count(spark: SparkSession, sf: str) -> DataFrame:
     return search.scanned(postings, search.queries_table(spark, {1: "this posted"}), SMALL)
 
 
-def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The stored index with repeated rows taken once; rows of one term of a document are one posting."""
+def _stored(spark: SparkSession, sf: str, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored index with repeated rows taken once; rows of one term of a document are one posting.
+
+    Only postings of query terms are cleaned: the normal term is part of the
+    key of both steps, so the result is what cleaning all of them would give.
+    """
     keys = ["core", "db", "doc_id"]
-    rows = read_table(spark, sf, "postings").where("term is not null").select(*keys, "term", "cnt", "wt").distinct()
-    postings = rows.groupBy(*keys, F.trim(F.lower("term")).alias("term")).agg(F.least(F.sum("wt"), F.lit(255)).cast("int").alias("wt"))
+    rows = read_table(spark, sf, "postings").where("term is not null").select(*keys, F.col("term").alias("raw"), F.trim(F.lower("term")).alias("term"), "cnt", "wt")
+    asked = rows.join(queries.select("term").distinct(), "term", "left_semi").distinct()
+    postings = asked.groupBy(*keys, "term").agg(F.least(F.sum("wt"), F.lit(255)).cast("int").alias("wt"))
     return read_table(spark, sf, "docs"), postings
 
 
@@ -139,15 +145,49 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_recorded(spark: SparkSession, sf: str) -> DataFrame:
     """Every recorded query text, answered over the stored index in one plan; documents without a stored length are no results."""
-    docs, postings = _stored(spark, sf)
-    return search.search(postings, docs, search.split_queries(_asked(spark, sf)), PROD)
+    queries = cut(search.split_queries(_asked(spark, sf)))
+    docs, postings = _stored(spark, sf, queries)
+    return search.search(cut(postings), docs, queries, PROD)
 
 
 def search_recorded_all(spark: SparkSession, sf: str) -> DataFrame:
     """``search_recorded`` with missing lengths taken from ``n_terms``, so that every long document can be a result."""
-    docs, postings = _stored(spark, sf)
+    queries = cut(search.split_queries(_asked(spark, sf)))
+    docs, postings = _stored(spark, sf, queries)
     docs = docs.withColumn("log2_terms", F.coalesce("log2_terms", text.log2_floor(F.col("n_terms"))))
-    return search.search(postings, docs, search.split_queries(_asked(spark, sf)), PROD)
+    return search.search(cut(postings), docs, queries, PROD)
+
+
+def _written(spark: SparkSession, sf: str) -> str:
+    """The folder of an index of all pages, written for this query."""
+    path = shared_path(spark, "index")
+    I.write_index(*I.build_index(_pages(spark, sf), SMALL), path)
+    return path
+
+
+def search_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """A search of an index that was written and is read back; only row groups with the query's terms are read."""
+    words = "is that this"
+    docs, postings = I.read_index(spark, _written(spark, sf))
+    return search.search(postings.where(F.col("term").isin(words.split())), docs, search.queries_table(spark, {1: words}), SMALL)
+
+
+def index_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Shards of a written index with their documents and postings, found again as folders."""
+    docs, postings = I.read_index(spark, _written(spark, sf))
+    n = docs.groupBy("core", "db").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_terms").alias("n_terms"))
+    return n.join(postings.groupBy("core", "db").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("wt").alias("wt")), ["core", "db"])
+
+
+def posting_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists as the run codec stores them, weights of a segment without run as text."""
+    segs = rle.encode_segments(_postings(spark, sf))
+    return segs.select("core", "db", "term", "seg", "first_doc", "len", "wt", F.array_join("literal", ",").alias("literal"))
+
+
+def posting_segments_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings back from encoded lists."""
+    return rle.decode_segments(rle.encode_segments(_postings(spark, sf)))
 
 
 def query_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +196,7 @@ def query_words(spark: SparkSession, sf: str) -> DataFrame:
     return asked.select("query_text", F.posexplode(search.query_terms(F.col("query_text"))).alias("pos", "term"))
 
 
-_FNS = [term_counts, doc_lengths, posting_weights, doc_text_terms, article_terms, shard_assignment, posting_lists, doc_frequency_idf, term_max_weight, shard_vocabulary, shard_keys, shard_merge, posting_runs, posting_decoded, scanned_count, search_recorded, search_recorded_all, query_words]
+_FNS = [term_counts, doc_lengths, posting_weights, doc_text_terms, article_terms, shard_assignment, posting_lists, doc_frequency_idf, term_max_weight, shard_vocabulary, shard_keys, shard_merge, posting_runs, posting_decoded, posting_segments, posting_segments_decoded, search_stored, index_stored, scanned_count, search_recorded, search_recorded_all, query_words]
 QUERIES = {f.__name__: f for f in _FNS} | {k: _search(w, ONE) for k, w in SEARCHES.items()} | {"search_multi_shard": _search("is that this", SMALL)}
 
 _IX = sql.index(SMALL)
@@ -185,6 +225,26 @@ SQL = {
         WITH {_IX}, i AS (SELECT core, db, term, wt, doc_id, doc_id - row_number() OVER (PARTITION BY core, db, term, wt ORDER BY doc_id) AS g FROM po WHERE wt > 0)
         SELECT core, db, term, min(doc_id) AS first_doc, count(*) AS run_len, wt FROM i GROUP BY core, db, term, wt, g""",
     "posting_decoded": f"WITH {_IX} SELECT core, db, term, doc_id, wt FROM po WHERE wt > 0",
+    "posting_segments_decoded": f"WITH {_IX} SELECT core, db, term, doc_id, wt FROM po WHERE wt > 0",
+    "index_stored": f"""
+        WITH {_IX}, a AS (SELECT core, db, count(*) AS n_docs, CAST(sum(n_terms) AS BIGINT) AS n_terms FROM d GROUP BY core, db)
+        SELECT core, db, n_docs, n_terms, count(*) AS n_postings, CAST(sum(wt) AS BIGINT) AS wt FROM a JOIN po USING (core, db) GROUP BY ALL""",
+    "posting_segments": f"""
+        WITH {_IX},
+             mx AS (SELECT core, db, term, max(doc_id) AS top FROM po GROUP BY core, db, term),
+             dn AS (SELECT core, db, term, unnest(range(top + 1)) AS i FROM mx),
+             dw AS (SELECT dn.*, coalesce(wt, 0) AS v, po.wt IS NOT NULL AS own, last_value(CASE WHEN po.wt IS NOT NULL THEN i END IGNORE NULLS) OVER w0 AS prev,
+                           first_value(CASE WHEN po.wt IS NOT NULL THEN i END IGNORE NULLS) OVER w1 AS nxt
+                    FROM dn LEFT JOIN po ON po.core = dn.core AND po.db = dn.db AND po.term = dn.term AND po.doc_id = dn.i
+                    WINDOW w0 AS (PARTITION BY dn.core, dn.db, dn.term ORDER BY i ROWS UNBOUNDED PRECEDING), w1 AS (PARTITION BY dn.core, dn.db, dn.term ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+             gp AS (SELECT *, NOT own AND nxt - coalesce(prev, -1) - 1 >= {PROD.min_run_len} AS gap FROM dw),
+             nr AS (SELECT *, CASE WHEN lag(v) OVER w = v AND lag(gap) OVER w = gap THEN 0 ELSE 1 END AS fresh FROM gp WINDOW w AS (PARTITION BY core, db, term ORDER BY i)),
+             rn AS (SELECT *, sum(fresh) OVER (PARTITION BY core, db, term ORDER BY i) AS run FROM nr),
+             rl AS (SELECT *, count(*) OVER (PARTITION BY core, db, term, run) >= {PROD.min_run_len} AS long FROM rn),
+             sg AS (SELECT *, CASE WHEN NOT long AND NOT lag(long) OVER w THEN 0 WHEN long AND fresh = 0 THEN 0 ELSE 1 END AS ns FROM rl WINDOW w AS (PARTITION BY core, db, term ORDER BY i)),
+             si AS (SELECT *, sum(ns) OVER (PARTITION BY core, db, term ORDER BY i) - 1 AS seg FROM sg)
+        SELECT core, db, term, CAST(seg AS INTEGER) AS seg, min(i) AS first_doc, count(*) AS len, CASE WHEN bool_or(long) THEN max(v) END AS wt,
+               CASE WHEN NOT bool_or(long) THEN string_agg(v, ',' ORDER BY i) END AS literal FROM si GROUP BY core, db, term, seg""",
     "scanned_count": f"""
         WITH {_IX}, s AS (SELECT core, db FROM po WHERE term IN ('this', 'posted') GROUP BY core, db HAVING count(DISTINCT term) = 2)
         SELECT CAST(1 AS BIGINT) AS query_id, count(*) AS n_shards, count(*) * {SMALL.shard_size} AS scanned FROM s HAVING count(*) > 0""",
@@ -203,4 +263,4 @@ SQL = {
         SELECT query_text, CAST(unnest(range(len(w))) AS INTEGER) AS pos, unnest(w) AS term FROM t""",
 }
 SQL |= {k: f"WITH {sql.index(ONE)}, {sql.search(ONE, f"SELECT CAST(1 AS BIGINT) AS query_id, '{w}' AS text")} {_OUT}" for k, w in SEARCHES.items()}
-SQL["search_multi_shard"] = f"WITH {_IX}, {sql.search(SMALL, "SELECT CAST(1 AS BIGINT) AS query_id, 'is that this' AS text")} {_OUT}"
+SQL["search_stored"] = SQL["search_multi_shard"] = f"WITH {_IX}, {sql.search(SMALL, "SELECT CAST(1 AS BIGINT) AS query_id, 'is that this' AS text")} {_OUT}"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PROD
 from ..functions import url as U
 from ..operators import frontier, links, robots
+from ..session import cut
 from ..sources import read_table
 from . import sql
 
@@ -58,8 +59,7 @@ def trap_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def link_filters(spark: SparkSession, sf: str) -> DataFrame:
     """F04, F05, F07, F08 over the frontier's distinct urls."""
-    plain = F.concat(F.col("u.scheme"), F.lit("://"), F.col("u.authority"), F.col("u.path"))
-    rows = _addresses(spark, sf).select("url", plain.alias("p"), "u")
+    rows = _addresses(spark, sf).select("url", links.plain(F.col("u")).alias("p"), "u")
     return rows.select(
         "url", U.clearly_not_html(F.col("p")).alias("not_html"), U.clearly_not_html(F.col("p"), legacy=True).alias("not_html_legacy"), U.is_trap(F.col("u.path")).alias("trap"),
         (F.octet_length("p") > PROD.max_url_len).alias("too_long"), U.parses(F.col("p")).alias("parses"),
@@ -120,7 +120,7 @@ def frontier_round_robin_all(spark: SparkSession, sf: str) -> DataFrame:
 
 def frontier_pages(spark: SparkSession, sf: str) -> DataFrame:
     """T06, D02."""
-    return frontier.split_pages(_frontier(spark, sf))
+    return frontier.split_pages(_frontier(spark, sf)).drop("popped")
 
 
 def frontier_page_max(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,9 +130,7 @@ def frontier_page_max(spark: SparkSession, sf: str) -> DataFrame:
 
 def frontier_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Every url found again by its page's interval."""
-    from pyspark.sql import Window
-
-    pages = frontier.split_pages(_frontier(spark, sf))
+    pages = cut(frontier.split_pages(_frontier(spark, sf)))
     starts = frontier.page_values(pages).select("queue", "page", "lower")
     ranges = starts.withColumn("upper", F.lead("lower").over(Window.partitionBy("queue").orderBy("page")))
     return frontier.url_pages(pages.select("queue", "url", "priority"), ranges).select("queue", "url", "page")
@@ -149,7 +147,7 @@ def robots_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 def robots_allowed(spark: SparkSession, sf: str) -> DataFrame:
     """F01, J04, R10, M13."""
-    rows = _addresses(spark, sf).select("url", F.col("u.host").alias("host"), F.col("u.path").alias("path"))
+    rows = cut(_addresses(spark, sf).select("url", F.col("u.host").alias("host"), F.col("u.path").alias("path")))
     return robots.allowed(rows, _rules(spark, sf)).select("url", "allowed")
 
 
@@ -172,7 +170,6 @@ _L = sql.LINKS
 _A = f"ju AS (SELECT DISTINCT url FROM jobs WHERE url IS NOT NULL), {sql.parsed('a', 'ju', 'url', 'url')}, ap AS (SELECT *, scheme || '://' || authority || path AS p FROM a)"
 _PAGED = f"pg AS (SELECT queue, url, priority, CAST((row_number() OVER (PARTITION BY queue ORDER BY url) - 1) // 60 AS BIGINT) AS page FROM (SELECT {sql.QUEUE} AS queue, * FROM fr))"
 _POPPED = f"pop AS (SELECT {sql.QUEUE} AS queue, CAST(row_number() OVER (PARTITION BY {sql.QUEUE} ORDER BY priority DESC, url DESC) AS INTEGER) AS rk, url, priority FROM {{}})"
-_LEGACY = sql.NOT_HTML.replace("mp3|", "").replace("xml|", "").replace("svg|SVG|json", "GIF")
 _RULES = r"""
     rf AS (SELECT row_number() OVER () AS f, host, string_split_regex(text, '\r?\n') AS ls FROM documents WHERE source = 'robotstxt' AND host IS NOT NULL AND text IS NOT NULL),
     rl AS (SELECT f, host, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM rf),
@@ -185,12 +182,12 @@ SQL = {
     "links_raw": """
         WITH h AS (SELECT page_id, regexp_extract_all(html, 'href=[''"]([^''"]+)[''"]', 1) AS hs FROM pages)
         SELECT page_id, CAST(unnest(range(len(hs))) AS INTEGER) AS pos, unnest(hs) AS href FROM h WHERE hs IS NOT NULL""",
-    "links_resolved": f"WITH {_L} SELECT page_id, pos, scheme || '://' || authority || path || query AS href FROM u",
+    "links_resolved": f"WITH {sql.ALL_LINKS} SELECT page_id, pos, scheme || '://' || authority || path || query AS href FROM u",
     "links_canonical": f"WITH {_L} SELECT page_id, pos, url FROM links",
     "cross_domain_links": f"WITH {_L} SELECT \"cross\", count(*) AS n, CAST(sum(inc) AS BIGINT) AS inc FROM links GROUP BY \"cross\"",
-    "trap_pages": f"WITH {_L} SELECT page_id FROM traps",
+    "trap_pages": f"WITH {sql.ALL_LINKS} SELECT page_id FROM traps",
     "link_filters": f"""
-        WITH {_A} SELECT url, {sql.NOT_HTML.format(u="p")} AS not_html, {_LEGACY.format(u="p")} AS not_html_legacy,
+        WITH {_A} SELECT url, {sql.not_html("p")} AS not_html, {sql.not_html("p", U.LEGACY_HTML)} AS not_html_legacy,
                {sql.IS_TRAP.format(p="path")} AS trap, strlen(p) > 250 AS too_long, regexp_matches(p, '^[!-~]+$') AS parses FROM ap""",
     "trap_urls": f"WITH {_A} SELECT url FROM ap WHERE {sql.IS_TRAP.format(p='path')}",
     "domain_roots": f"WITH {_A} SELECT DISTINCT host, {sql.ROOT.format(h='host')} AS root FROM ap",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ..config import Config
+from ..config import PROD, Config
+from ..functions import url as U
+from ..operators import text as T
 
-_TERMS = "list_transform(regexp_extract_all({}, '[a-zA-Z]+'), lambda t: lower(t))"
-NODES = r"flatten(list_transform(regexp_extract_all(html, '(?s)<(body|/script|/style)([^<>]*)>.*?(</body>|<script|<style)'), lambda s: regexp_extract_all(s, '>([^<>]+)', 1)))"
+_TERMS = f"list_transform(regexp_extract_all({{}}, '{T.TERM}'), lambda t: lower(t))"
+NODES = f"flatten(list_transform(regexp_extract_all(html, '{T.SECTION}'), lambda s: regexp_extract_all(s, '{T.TEXT_NODE}', 1)))"
 
 TOK = f"""
     tok AS (SELECT page_id, url, flatten(list_transform({NODES}, lambda x: {_TERMS.format("x")})) AS terms FROM pages WHERE html IS NOT NULL),
@@ -69,12 +71,28 @@ def parsed(name: str, src: str, keep: str, url: str) -> str:
 ROOT = "CASE WHEN len(string_split({h}, '.')) > 2 THEN array_to_string(string_split({h}, '.')[-2:], '.') ELSE {h} END"
 IS_NAME = r"NOT regexp_matches({h}, '^(\[.*|[0-9]+([.][0-9]+){{3}})$')"
 IS_TRAP = "len(string_split(substr({p}, 2), '/')) - len(list_distinct(string_split(substr({p}, 2), '/'))) >= 2"
-NOT_HTML = r"(regexp_matches({u}, '\.(css|js|mp3|mp4|m4v|mov|dmg|pt|vdi|ova|m2ts|rmvb|npz|mat|data|xml|7z|gz|gztar|pdf|png|PNG|ico|ICO|jpg|JPG|gif|GIF|svg|SVG|json)$') OR NOT starts_with({u}, 'http'))"
 
-LINKS = f"""{parsed("b", "pages", "page_id, html", "url")},
+
+def not_html(u: str, but: list[str] = ()) -> str:
+    """F04 of the expression ``u``; endings of ``but`` pass."""
+    ends = "|".join(e for e in U.NOT_HTML if e not in but)
+    return f"(regexp_matches({u}, '\\.({ends})$') OR NOT starts_with({u}, 'http'))"
+
+
+_HREF = U.HREF.replace("'", "''")
+_CUT = ", ".join(f"try(decode(encode(html)[1:{PROD.max_document_len - i}]))" for i in range(4))
+#: Pages as a crawler reads them (cr), and those of them that it indexes (long).
+CRAWLED = f"""
+    cr AS (SELECT page_id, url, CASE WHEN strlen(html) <= {PROD.max_document_len} THEN html ELSE coalesce({_CUT}) END AS html FROM pages WHERE html IS NOT NULL),
+    long AS (SELECT * FROM cr WHERE len(flatten(list_transform({NODES}, lambda x: regexp_extract_all(x, '{T.TERM}')))) >= {PROD.min_n_tokens})"""
+
+
+def links(src: str) -> str:
+    """Links of the pages in ``src``: all addresses (u), pages with a trap (traps), what goes to the frontier (links, fr)."""
+    return f"""{parsed("b", src, "page_id, html", "url")},
     hr AS (SELECT page_id, b.scheme AS bs, b.authority AS ba, b.host AS bh, b.path AS bp, b.query AS bq,
-                  unnest(regexp_extract_all(html, 'href=[''"]([^''"]+)[''"]', 1)) AS href,
-                  unnest(range(len(regexp_extract_all(html, 'href=[''"]([^''"]+)[''"]', 1)))) AS pos
+                  unnest(regexp_extract_all(html, '{_HREF}', 1)) AS href,
+                  unnest(range(len(regexp_extract_all(html, '{_HREF}', 1)))) AS pos
            FROM b WHERE {IS_NAME.format(h="host")}),
     tg AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, bh, CASE
                   WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN bs || ':' || href
@@ -86,6 +104,10 @@ LINKS = f"""{parsed("b", "pages", "page_id, html", "url")},
     ln AS (SELECT page_id, pos, scheme || '://' || authority || path AS url,
                   {IS_NAME.format(h="host")} AND {ROOT.format(h="host")} <> {ROOT.format(h="bh")} AS cross, CAST(1 AS BIGINT) AS inc
            FROM u WHERE page_id NOT IN (SELECT page_id FROM traps)),
-    links AS (SELECT * FROM ln WHERE NOT {NOT_HTML.format(u="url")} AND strlen(url) <= 250 AND regexp_matches(url, '^[!-~]+$')),
+    links AS (SELECT * FROM ln WHERE NOT {not_html("url")} AND strlen(url) <= {PROD.max_url_len} AND regexp_matches(url, '^[!-~]+$')),
     fr AS (SELECT url, CAST(sum(inc) AS BIGINT) AS priority FROM links GROUP BY url)"""
+
+
+LINKS = f"{CRAWLED}, {links('long')}"
+ALL_LINKS = links("pages")
 QUEUE = "CAST(CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % 64 AS INTEGER)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import heapq
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,20 +12,22 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from .. import schemas
 from ..operators.frontier import priorities
 from ..operators.links import page_links
-from ..session import ensure_checkpoint_dir
+from ..session import shared_path
 
 
-def stream_priorities(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def stream_priorities(spark: SparkSession, path: str, max_files: int | None = None, out: str | None = None) -> DataFrame:
     """(url, priority) after all pages under ``path`` have been read as a stream.
 
     Each micro-batch turns its pages into links and writes their sums under
     its own number, so a repeated batch replaces itself; priorities are the
-    sums over batches.
+    sums over batches. ``out`` is a shared folder for the sums and the stream's
+    state, and a later call with it goes on with new pages; without it the
+    stream starts anew and its folder is removed when the process ends.
     """
     reader = spark.readStream.schema(schemas.PAGES)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)  # R05
-    out = f"{ensure_checkpoint_dir(spark)}/frontier-{uuid.uuid4().hex}"
+    out = out or shared_path(spark, "frontier")
 
     def write(pages: DataFrame, number: int) -> None:
         priorities(page_links(pages)).write.mode("overwrite").parquet(f"{out}/sums/batch={number}")
@@ -40,7 +42,8 @@ class Pops(StatefulProcessor):
     """Increments and pops of one queue.
 
     An increment after a pop still counts, but the url never comes out again.
-    Of equal priorities the greatest url is popped.
+    Of equal priorities the greatest url is popped. A batch reads the queue's
+    state once, keeps the waiting urls in a heap, and writes back what changed.
     """
 
     def init(self, handle) -> None:
@@ -49,24 +52,47 @@ class Pops(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
-        ops = pd.concat(list(rows)).sort_values("seq")
-        out = []
+        ops = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        state = {k[0]: (int(v[0]), bool(v[1])) for k, v in self.urls.iterator()} if (ops.op == "pop").any() else {}
+        known = bool(state)
+        heap = [(-cnt, _Last(url)) for url, (cnt, popped) in state.items() if not popped]
+        heapq.heapify(heap)
+        out, changed = [], {}
         for op, url, amount, seq in zip(ops.op, ops.url, ops.amount, ops.seq):
             if op == "inc":
-                cnt, popped = self.urls.getValue((url,)) if self.urls.containsKey((url,)) else (0, False)
-                self.urls.updateValue((url,), (cnt + int(amount), popped))
+                if not known and url not in state and self.urls.containsKey((url,)):
+                    cnt, popped = self.urls.getValue((url,))
+                    state[url] = int(cnt), bool(popped)
+                cnt, popped = state.get(url, (0, False))
+                state[url] = changed[url] = cnt + int(amount), popped
+                if not popped:
+                    heapq.heappush(heap, (-state[url][0], _Last(url)))
                 continue
-            waiting = [(v[0], k[0]) for k, v in self.urls.iterator() if not v[1]]
-            if waiting:
-                cnt, best = max(waiting)
-                self.urls.updateValue((best,), (cnt, True))
-                out.append((key[0], int(seq), best, int(cnt)))
+            while heap:
+                cnt, url = -heap[0][0], heapq.heappop(heap)[1].url
+                if state[url] == (cnt, False):  # else an older entry of a url that has risen or gone
+                    state[url] = changed[url] = cnt, True
+                    out.append((key[0], int(seq), url, cnt))
+                    break
+        for url, v in changed.items():
+            self.urls.updateValue((url,), v)
         yield pd.DataFrame(out, columns=["queue", "seq", "url", "priority"])
 
     def close(self) -> None:
         pass
 
 
+class _Last:
+    """A url in descending order."""
+
+    def __init__(self, url: str):
+        self.url = url
+
+    def __lt__(self, other: _Last) -> bool:
+        return self.url > other.url
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 POPPED = "queue int, seq long, url string, priority long"
 
 
@@ -76,3 +102,23 @@ def stream_pops(ops: DataFrame) -> DataFrame:
     Needs the RocksDB state store provider. State lies by queue; use many queues.
     """
     return ops.groupBy("queue").transformWithStateInPandas(Pops(), outputStructType=POPPED, outputMode="Append", timeMode="None")
+
+
+def run_pops(ops: DataFrame) -> DataFrame:
+    """(queue, seq, url, priority): a table of operations replayed as a stream, to its end.
+
+    The operations are written to the shared folder and read from there; what
+    each micro-batch popped is written beside them.
+    """
+    spark = ops.sparkSession
+    src, out = shared_path(spark, "ops"), shared_path(spark, "pops")
+    ops.select("queue", "seq", "op", "url", "amount").write.parquet(src)
+    provider = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = stream_pops(spark.readStream.schema("queue int, seq long, op string, url string, amount long").parquet(src))
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_PROVIDER, provider)
+    return spark.read.schema(POPPED).parquet(f"{out}/rows")

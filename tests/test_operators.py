@@ -36,7 +36,7 @@ def test_dense_reduce(spark, max_keys):
     rnd = random.Random(max_keys)
     data = [(rnd.choice(["hot", "hot", "", "k%d" % rnd.randrange(50), None]), rnd.choice([None, rnd.randrange(-9, 10**15)])) for _ in range(3000)]
     df = spark.createDataFrame([(*r, 1, "x") for r in data], "host string, p long, rows int, key string")
-    assert rows(dense_reduce(df, "host", ["p"], blocks=3, max_keys=max_keys)) == brute_reduce(data)
+    assert rows(dense_reduce(df, "host", ["p"], tasks=3, max_keys=max_keys)) == brute_reduce(data)
 
 
 def test_dense_reduce_empty(spark):

@@ -2,10 +2,10 @@
 
 import pytest
 
-from quarryline.plans import corpus, events, frontier, hosts
+from quarryline.plans import corpus, crawl, events, frontier, hosts, legacy
 
-MODULES = [corpus, frontier, events, hosts]
-NAMES = [(m, k) for m in MODULES for k in m.QUERIES]
+MODULES = [corpus, frontier, crawl, events, hosts, legacy]
+NAMES = [(m, k) for m in MODULES for k in m.SQL]
 
 
 @pytest.mark.parametrize(("module", "name"), NAMES, ids=[k for _, k in NAMES])
@@ -13,6 +13,11 @@ def test_query(same, module, name):
     same(module.QUERIES[name], module.SQL[name])
 
 
+def test_queries_without_sql():
+    """Only random rows have none."""
+    assert {k for m in MODULES for k in m.QUERIES if k not in m.SQL} == {"log_sample"}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -34,7 +34,7 @@ JOINS = [
 
 def test_resolve(spark):
     rows = spark.createDataFrame([(i, BASE, h) for i, (h, _) in enumerate(JOINS)], "i int, base string, href string")
-    out = U.parse_urls(U.parse_urls(rows, "base", "b").withColumn("t", U.resolve("b", "href")), "t", "u").select("i", "u.href").collect()
+    out = U.parse_urls(U.parse_urls(rows, "base", "b").withColumn("t", U.resolve("b", F.col("href"))), "t", "u").select("i", "u.href").collect()
     assert [r.href for r in sorted(out)] == [w for _, w in JOINS]
 
 
