@@ -1,21 +1,23 @@
 """Capping records per dominant contributor, best records first.
 
-A share limit depends on the output it limits, so the level (the most records
-of one contributor) is found by water-filling over the sorted contributor
-counts until the output's shares are consistent with it. A small level keeps
-each contributor's best records by a limited window, which drops most rows
-before they move. A large level is turned into one cutoff for each capped
-contributor by a distributed radix selection, and rows are then filtered where
-they lie.
+A limit may be a number of records, a share of the output, or both. A share
+depends on the output it limits, so the level (the most records of one
+contributor) is found by water-filling over contributor counts until the
+output's shares are consistent with it. Counts are sorted by how they fall into
+a fixed number of buckets, again and again inside the bucket that holds the
+level, so that no list of counts ever reaches the driver. Contributors above
+the level then keep their best records.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import best, ranked
+from ..session import cut
 from ..sources import read_table
 
 PER_DAY = 20
@@ -23,125 +25,111 @@ MAX_SHARE = "0.05"
 _RADIX = 10
 
 
-def water_level(histogram: list[tuple[int, int]], share: Fraction) -> int:
-    """The largest level L with L <= share * sum(min(count, L)).
+def counted(df: DataFrame, contributor: list[str]) -> DataFrame:
+    """(contributor, n) of rows with all parts of their contributor, written once."""
+    return cut(df.select(*contributor).dropna().groupBy(*contributor).agg(F.count(F.lit(1)).alias("n")))
 
-    ``histogram``: (count, contributors with that count). If ``k`` contributors
-    are capped, the level is share * rest / (1 - share * k), where ``rest`` are
-    the records of the others; the right ``k`` is the one whose level separates
-    the capped from the others. Rounding down takes records away, so the level
-    is lowered until it is consistent. 0 if there are too few contributors for
-    any output to meet the share.
+
+def water_level(counts: DataFrame, share: Fraction = Fraction(1), most: int | None = None) -> int:
+    """The largest level L with L <= share * sum(min(n, L)), at most ``most``.
+
+    ``counts``: a column n, read once for every 2^10 times that the largest
+    count holds. share * sum(min(n, L)) - L is concave in L and 0 at 0, so the
+    consistent levels are an interval from 0, and what is consistent at a
+    bucket's edge tells which bucket holds its end. A share that no output can
+    meet, as there are fewer contributors than 1/share, has the level of the
+    smallest contributor: the most even output with records of all of them. 0
+    for an empty table.
     """
-    hist = sorted(histogram)
-    rest, capped = sum(n * m for n, m in hist), 0
-    level = Fraction(hist[-1][0]) if hist else Fraction(0)
-    for n, m in reversed(hist):
-        if level <= share * (rest + level * capped):
-            break
-        rest, capped = rest - n * m, capped + m
-        if share * capped >= 1:
-            return 0
-        level = min(level, share * rest / (1 - share * capped))
-        below = max((x for x, _ in hist if x < n), default=0)
-        if level >= below:
-            break
-        level = Fraction(below)
-    out = int(level)
-    while out and out > (top := int(share * sum(min(n, out) * m for n, m in hist))):
-        out = top
-    return out
-
-
-def share_level(df: DataFrame, contributor: str, share: Fraction) -> int:
-    """``water_level`` of a table. The histogram has at most sqrt(2 * rows) entries."""
-    counts = df.where(F.col(contributor).isNotNull()).groupBy(contributor).agg(F.count(F.lit(1)).alias("n"))
-    return water_level([tuple(r) for r in counts.groupBy("n").agg(F.count(F.lit(1))).collect()], share)
+    least, high, total = counts.agg(F.min("n"), F.max("n"), F.sum("n")).first()
+    if not high:
+        return 0
+    if high <= share * total:
+        level = high
+    else:
+        # n up to low are summed up in ``below``; ``above`` is the number of contributors beyond high
+        low, below, above = 0, 0, 0
+        while high - low > 1:
+            shift = max(0, (high - low - 1).bit_length() - _RADIX)
+            inside = counts.where((F.col("n") > low) & (F.col("n") <= high))
+            bucket = F.shiftright(F.col("n") - low - 1, shift).alias("b")
+            got = {r.b: (r.k, r.s) for r in inside.groupBy(bucket).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s")).collect()}
+            waiting = above + sum(k for k, _ in got.values())
+            last, step = 0, 1 << shift
+            best_at = (low, below, above)
+            for j in range((high - low - 1) // step + 1):
+                k, s = got.get(j, (0, 0))
+                edge = low + (j + 1) * step
+                now = below + s + edge * (waiting - k)
+                if edge > share * now:
+                    best_at = (edge - step, below, waiting - k)
+                    break
+                below, waiting, last = below + s, waiting - k, edge
+            else:
+                best_at = (last, below, waiting)
+            low, below, above = best_at
+            high = min(high, low + step)
+            if not shift:
+                break
+        level = low or least
+    return level if most is None else min(level, most)
+
+
+def _order(quality: str, id_col: str) -> list:
+    return [F.col(quality).desc_nulls_last(), F.col(id_col).asc()]
 
 
 def best_k(df: DataFrame, contributor: list[str], quality: str, id_col: str, k: int) -> DataFrame:
     """The ``k`` best rows of each contributor: highest quality, null last, ties by smaller id.
 
-    Each task keeps ``k`` rows a contributor before the shuffle, so a
-    contributor of any size sends at most k rows a task.
+    A small ``k`` drops most rows before they move; for a large one rows are
+    numbered by a range shuffle. Either way a contributor of any size is spread
+    over many tasks.
     """
-    w = Window.partitionBy(*contributor).orderBy(F.col(quality).desc_nulls_last(), F.col(id_col).asc())
-    return df.withColumn("__rk", F.row_number().over(w)).where(F.col("__rk") <= k).drop("__rk")
+    return best(df, contributor, _order(quality, id_col), k, "__rk").drop("__rk")
 
 
-def over_cap(df: DataFrame, contributor: list[str], quality: str, id_col: str, k: int) -> DataFrame:
-    """Ids of the rows that a cap of ``k`` drops.
+def over_cap(df: DataFrame, contributor: list[str], quality: str, id_col: str, most: int, share: Fraction = Fraction(1)) -> DataFrame:
+    """Ids of the rows that a cap drops: of ``most`` records a contributor, or fewer if ``share`` of the output asks for it.
 
     Defined cases: rows with a null contributor part belong to no contributor
     and are never dropped; null quality ranks last; ids are unique; an empty
     table drops nothing; other columns are not read.
     """
-    cols = list(dict.fromkeys([*contributor, quality, id_col]))
-    rows = df.select(*cols).dropna(subset=contributor)
-    kept = best_k(rows, contributor, quality, id_col, k).select(id_col)
+    rows, level = _leveled(df, contributor, quality, id_col, most, share)
+    kept = best_k(rows, contributor, quality, id_col, level).select(id_col)
     return rows.select(id_col).join(kept, id_col, "left_anti")
 
 
-def _cutoff(rows: DataFrame, state: dict[str, tuple[int, ...]], low: int, high: int) -> dict[str, tuple[int, int]]:
-    """For each contributor of ``state`` (c -> how many to keep): the value v of rank
-    that many in ascending order, and how many of the rows at v to keep.
-
-    ``rows``: (c, v). Each round counts 2^10 buckets a contributor and goes on
-    inside the bucket that holds the rank; what reaches the driver is at most
-    2^10 rows a capped contributor.
-    """
-    spark = rows.sparkSession
-    shift = max(0, (high - low).bit_length() - _RADIX)
-    at = {c: (low, k) for c, (k, *_) in state.items()}
-    while True:
-        now = F.broadcast(spark.createDataFrame([(c, b) for c, (b, _) in at.items()], "c string, base long"))
-        inside = rows.join(now, "c").where((F.col("v") >= F.col("base")) & (F.col("v") - F.col("base") < F.lit(1 << (shift + _RADIX))))
-        counted = inside.groupBy("c", F.shiftright(F.col("v") - F.col("base"), shift).alias("b")).count().collect()
-        for c, (base, k) in list(at.items()):
-            for b, n in sorted((r.b, r["count"]) for r in counted if r.c == c):
-                if k <= n:
-                    at[c] = (base + (b << shift), k)
-                    break
-                k -= n
-        if not shift:
-            return at
-        shift = max(0, shift - _RADIX)
+def _leveled(df: DataFrame, contributor: list[str], quality: str, id_col: str, most: int, share: Fraction) -> tuple[DataFrame, int]:
+    """Rows that have a contributor, and the level that water-filling finds for them."""
+    cols = list(dict.fromkeys([*contributor, quality, id_col]))
+    return df.select(*cols).dropna(subset=contributor), water_level(counted(df, contributor), share, most)
 
 
 def cap_share(df: DataFrame, contributor: str, quality: str, id_col: str, share: str = MAX_SHARE) -> DataFrame:
     """``df`` without the rows that exceed ``share`` of the output for their contributor.
 
-    ``contributor``: a string column; ``quality`` and ``id_col``: integers, ids
-    unique. At most 1/share contributors can be capped, so their cutoffs are
-    few whatever the data. Every contributor's share of the rows that have a
-    contributor is at most ``share``.
+    At most 1/share contributors can be capped, so they and their cutoffs, the
+    last row that each keeps, are few whatever the data. Rows of capped
+    contributors are numbered by a range shuffle of (contributor, quality, id)
+    alone; all others are neither shuffled nor ranked. Every contributor's share
+    of the rows that have a contributor is at most ``share``.
 
     Defined cases: rows with a null contributor stay; null quality ranks last
-    and ties go to the smaller id; if there are fewer contributors than
-    1/share, no output meets it and only rows without contributor stay; an
-    empty table stays empty; other columns pass through.
+    and ties go to the smaller id; ids are unique; if there are fewer
+    contributors than 1/share, no output meets it and each keeps as many rows as
+    the smallest has; an empty table stays empty; other columns pass through.
     """
-    level = share_level(df, contributor, Fraction(share))
-    c = F.col(contributor)
-    if not level:
-        return df.where(c.isNull())
-    big = [r[0] for r in df.where(c.isNotNull()).groupBy(contributor).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > level).collect()]
-    if not big:
-        return df
-    spark = df.sparkSession
-    rank: Column = -F.col(quality).cast("long")
-    rows = df.select(c.alias("c"), rank.alias("q"), F.col(id_col).cast("long").alias("id"))
-    q_low, q_high, id_low, id_high = rows.agg(F.min("q"), F.max("q"), F.min("id"), F.max("id")).first()
-    q_low, q_high = (q_low, q_high + 1) if q_low is not None else (0, 0)  # one past the worst is for null
-    rows = rows.withColumn("q", F.coalesce("q", F.lit(q_high)))
-    worst = _cutoff(rows.withColumnRenamed("q", "v"), {x: (level,) for x in big}, q_low, q_high)
-    edge = F.broadcast(spark.createDataFrame([(x, v) for x, (v, _) in worst.items()], "c string, edge long"))
-    tied = rows.join(edge, "c").where(F.col("q") == F.col("edge")).select("c", F.col("id").alias("v"))
-    last = _cutoff(tied, {x: (k,) for x, (_, k) in worst.items()}, id_low, id_high)
-    limits = F.broadcast(spark.createDataFrame([(x, worst[x][0], last[x][0]) for x in big], "__c string, __q long, __id long"))
-    q = F.coalesce(rank, F.lit(q_high))
-    kept = F.col("__c").isNull() | (q < F.col("__q")) | ((q == F.col("__q")) & (F.col(id_col) <= F.col("__id")))
-    return df.join(limits, c == F.col("__c"), "left").where(kept).drop("__c", "__q", "__id")
+    counts = counted(df, [contributor])
+    level = water_level(counts, Fraction(share))
+    big = F.broadcast(counts.where(F.col("n") > level).select(contributor))
+    rows = df.select(F.col(contributor), F.col(quality).alias("__q"), F.col(id_col).alias("__id")).join(big, contributor, "left_semi")
+    last = ranked(rows, [contributor], _order("__q", "__id"), "__rk").where(F.col("__rk") == level - 1)
+    cutoffs = F.broadcast(last.select(F.col(contributor).alias("__c"), "__q", "__id"))
+    better = F.col(quality).isNotNull() & (F.col("__q").isNull() | (F.col(quality) > F.col("__q")))
+    kept = F.col("__c").isNull() | better | (F.col(quality).eqNullSafe(F.col("__q")) & (F.col(id_col) <= F.col("__id")))
+    return df.join(cutoffs, F.col(contributor) == F.col("__c"), "left").where(kept).drop("__c", "__q", "__id")
 
 
 def _jobs(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +146,8 @@ def p5_kept(spark: SparkSession, sf: str) -> DataFrame:
     """The jobs that stay; those without host or time are never capped."""
     jobs = _jobs(spark, sf).select("job_id", "host", "day", "priority")
     none = jobs.where(F.col("host").isNull() | F.col("day").isNull())
-    return best_k(jobs.dropna(subset=["host", "day"]), ["host", "day"], "priority", "job_id", PER_DAY).unionByName(none)
+    rows, level = _leveled(jobs, ["host", "day"], "priority", "job_id", PER_DAY, Fraction(1))
+    return best_k(rows, ["host", "day"], "priority", "job_id", level).select("job_id", "host", "day", "priority").unionByName(none)
 
 
 def p5_share(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,5 +174,5 @@ SQL = {
                 WHERE l > (SELECT sum(least(n, l)) FROM n) // 20 AND step < 10000),
              r AS (SELECT job_id, host, priority, row_number() OVER (PARTITION BY host ORDER BY priority DESC NULLS LAST, job_id) AS rk
                    FROM jobs WHERE host IS NOT NULL)
-        SELECT job_id, host, priority FROM r WHERE rk <= (SELECT min(l) FROM level)""",
+        SELECT job_id, host, priority FROM r WHERE rk <= (SELECT CASE WHEN min(l) > 0 THEN min(l) ELSE (SELECT min(n) FROM n) END FROM level)""",
 }

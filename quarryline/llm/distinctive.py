@@ -34,7 +34,9 @@ def log_entropy(postings: DataFrame, n_records: int, hot_rows: int = HOT_ROWS) -
 
     score = log2(1 + cnt) * (1 - entropy / log2(n_records)): 0 for a term spread
     evenly over all records, log2(1 + cnt) for one that a single record holds.
-    Terms of more than ``hot_rows`` postings get their figures by broadcast.
+    Terms of more than ``hot_rows`` postings and more than a thousandth of all
+    get their figures by a broadcast of at most a thousand rows. ``postings`` is
+    read several times: hand over a stored table.
 
     Defined cases: clean postings have no null term; the empty term is a term;
     a null record part is a value; with one record or none the score is the

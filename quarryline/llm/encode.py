@@ -10,6 +10,7 @@ ids are concatenated.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -136,10 +137,32 @@ def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), names[-1])
 
 
+def decode_digests(ids: DataFrame, key: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, n_ids, n_bytes, digest): the bytes that lists of ids stand for, as their number and MD5.
+
+    An empty list stands for no bytes. ``key``: a long; ``ids``: a column array<int>.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {i: t for t, i in encoder(vocabulary).ranks.items()}
+        for b in batches:
+            raw = [b"".join(map(token.__getitem__, x.as_py())) for x in b.column(1)]
+            n = b.column(1).value_lengths().cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(map(len, raw), pa.int64()), pa.array([hashlib.md5(r).hexdigest() for r in raw])], ["k", "n_ids", "n_bytes", "digest"])
+
+    out = ids.select(F.col(key).cast("long").alias("k"), "ids").mapInArrow(work, "k long, n_ids long, n_bytes long, digest string")
+    return out.withColumnRenamed("k", key)
+
+
+def p8_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's ids decoded again: number of bytes and digest, which are those of the text."""
+    return decode_digests(p8_ids(spark, sf), "doc_id").drop("n_ids")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Token ids of every document."""
     return encode_texts(read_table(spark, sf, "documents"), keep=["doc_id"])
 
 
-QUERIES = {"p8_ids": p8_ids}
-SQL: dict[str, str] = {}
+QUERIES = {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip}
+SQL = {"p8_round_trip": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, md5(coalesce(text, '')) AS digest FROM documents"}

@@ -14,6 +14,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..sources import read_table
 from .clean import CLEAN_SQL, read_clean
 
@@ -53,22 +54,27 @@ def frequent_items(df: DataFrame, item: str, share: str, weight: str | None = No
 def p6_items(spark: SparkSession, sf: str) -> DataFrame:
     """Frequent urls of jobs and terms of the index cache with exact and approximate counts."""
     urls = frequent_items(read_table(spark, sf, "jobs"), "url", "0.001")
-    terms = frequent_items(read_clean(spark, sf), "term", "0.01", "cnt")
+    terms = frequent_items(cut(read_clean(spark, sf).select("term", "cnt")), "term", "0.01", "cnt")
     return urls.withColumn("field", F.lit("url")).unionByName(terms.withColumn("field", F.lit("term")))
 
 
+def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The frequent urls and terms with their exact counts."""
+    return p6_items(spark, sf).select("field", "item", "n")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """The frequent urls and terms."""
     return p6_items(spark, sf).select("field", "item")
 
 
-QUERIES = {"p6_found": p6_found, "p6_items": p6_items}
+QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p6_counts": p6_counts}
+
+_COUNTED = f"""
+    WITH {CLEAN_SQL}
+    SELECT 'url' AS field, url AS item, count(*) AS n FROM jobs WHERE url IS NOT NULL GROUP BY url
+    HAVING count(*) * 1000 >= (SELECT count(url) FROM jobs)
+    UNION ALL
+    SELECT 'term', term, CAST(sum(cnt) AS BIGINT) FROM clean GROUP BY term HAVING sum(cnt) * 100 >= (SELECT sum(cnt) FROM clean)"""
 
-SQL = {
-    "p6_found": f"""
-        WITH {CLEAN_SQL}
-        SELECT 'url' AS field, url AS item FROM jobs WHERE url IS NOT NULL GROUP BY url
-        HAVING count(*) * 1000 >= (SELECT count(url) FROM jobs)
-        UNION ALL
-        SELECT 'term', term FROM clean GROUP BY term HAVING sum(cnt) * 100 >= (SELECT sum(cnt) FROM clean)""",
-}
+SQL = {"p6_found": f"SELECT field, item FROM ({_COUNTED})", "p6_counts": _COUNTED}

@@ -6,11 +6,13 @@ look alike across alphabets: a word is a lattice with all look-alikes of each
 letter, and a Viterbi search picks the path of fewest changes of script and,
 among those, of the best character n-gram score. The lattice depends on the
 word's looks alone, so words that look the same get the same form, and each
-form looks like its word.
+form looks like its word. The n-gram scores are counted over the tokens of a
+public multilingual vocabulary, so a text has the same form in every corpus.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import sys
@@ -24,29 +26,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
 from ..session import cut, spread
 from ..sources import read_table
 
-#: Letters of one look, as Latin, Cyrillic, Greek.
+#: Letters of one look, as Latin, then Cyrillic, Greek and Armenian.
 LOOKS = """
-    AАΑ BВΒ CС EЕΕ HНΗ IІΙ JЈ KКΚ MМΜ NΝ OОΟ PРΡ QԚ SЅ TТΤ WԜ XХΧ YҮΥ ZΖ
-    aа cс dԁ eе hһ iі jј oоο pр qԛ sѕ vѵν wԝ xх yу
+    AАΑ BВΒ CСϹ EЕΕ GԌ HНΗ IІӀΙ JЈͿ KКΚ MМΜ NΝ OОΟՕ PРΡ QԚ SЅՏ TТΤ UՍ VѴ WԜ XХΧ YҮΥ ZΖ
+    aа cсϲ dԁ eе hһհ iі jјϳ nո oоοօ pр qԛ sѕ uս vѵν wԝ xх yу
 """.split()
 #: Format characters that show (signs that span digits or words).
 _SHOWN = {0x0600, 0x0601, 0x0602, 0x0603, 0x0604, 0x0605, 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD}
 #: Ignorable characters outside the format category (joiners, fillers, variation selectors).
 _IGNORABLE = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF)]
-_LATIN, _CYRILLIC, _GREEK = 1, 2, 3
-_TOP = 0x530
-_WORD = re.compile("[A-Za-z\u0370-\u03ff\u0400-\u052f][A-Za-z\u0370-\u03ff\u0400-\u052f\u0300-\u036f]*")
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+HOT_ROWS = 100_000
+BLOCK = 1_000  # copies of a text, or texts of a class, that a task pairs at once
+_LATIN, _CYRILLIC, _GREEK, _ARMENIAN = 1, 2, 3, 4
+_TOP = 0x590
 
 
 def _scripts() -> np.ndarray:
-    """Script by code point, for the letters of the three alphabets below _TOP."""
+    """Script by code point, for the letters of the four alphabets below _TOP."""
     out = np.zeros(_TOP, np.int8)
     for c in range(_TOP):
         if unicodedata.category(chr(c))[0] == "L":
-            out[c] = _LATIN if c < 0x80 else _GREEK if 0x370 <= c < 0x400 else _CYRILLIC if c >= 0x400 else 0
+            out[c] = _LATIN if c < 0x80 else 0 if c < 0x370 else _GREEK if c < 0x400 else _CYRILLIC if c < 0x530 else _ARMENIAN
     return out
 
 
@@ -68,16 +73,71 @@ def _plain() -> dict[int, str | None]:
     return out
 
 
+def _set(points: list[int], escape: str = "\\U{:08x}") -> str:
+    """The inside of a character set: code points as ranges."""
+    runs: list[list[int]] = []
+    for c in sorted(points):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(escape.format(a) + ("" if a == z else "-" + escape.format(z)) for a, z in runs)
+
+
+@lru_cache(maxsize=1)
+def _unplain() -> re.Pattern:
+    return re.compile(f"[{_set(list(_plain()))}]")
+
+
 #: Each letter's class: the first (Latin) letter of its look.
-_CLASS = {ord(c): look[0] for look in LOOKS for c in look}
+_CLASS = {ord(c): look[0] for look in LOOKS for c in look[1:]}
 _MEMBERS = {look[0]: look for look in LOOKS}
 
+# Letters as they occur in skeletons: Latin ones with look-alikes (open), other Latin ones, and those of other alphabets.
+_OPEN = "".join(_MEMBERS)
+_SHUT = "".join(c for c in map(chr, range(0x80)) if c.isalpha() and c not in _OPEN)
+_OTHER = _set([c for c in range(0x370, _TOP) if SCRIPT[c] and c not in _CLASS])
+_MARKS = "\u0300-\u036f"
+_LETTER = f"A-Za-z{_OTHER}"
+#: Words that hold no Latin letter without look-alikes: the only ones whose letters are in question if no word mixes such letters with other alphabets.
+_OPEN_WORD = re.compile(f"(?<![{_LETTER}{_MARKS}])[{_OPEN}{_OTHER}][{_OPEN}{_OTHER}{_MARKS}]*+(?![{_LETTER}])")
+_ASCII_WORD = re.compile(f"(?<![A-Za-z])[{_OPEN}]++(?![A-Za-z])")
+_WORD = re.compile(f"(?<![{_LETTER}{_MARKS}])[{_LETTER}][{_LETTER}{_MARKS}]*+")
+_MIXED = re.compile(f"[{_SHUT}][{_OPEN}{_MARKS}]*+[{_OTHER}]|[{_OTHER}][{_OPEN}{_MARKS}]*+[{_SHUT}]")
+
 
 def skeleton(text: str) -> str:
     """``text`` decomposed, without differences of form, every letter replaced by its look's class."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text.translate(_plain())).translate(_CLASS))
+    if _unplain().search(text):
+        text = unicodedata.normalize("NFD", text).translate(_plain())
+    return unicodedata.normalize("NFD", text).translate(_CLASS)
+
+
+def letter_pairs(texts: dict[str, int]) -> dict[tuple[int, int], int]:
+    """Counts of neighbouring letters of one script in weighted texts."""
+    out: dict[tuple[int, int], int] = {}
+    for t, n in texts.items():
+        c = [ord(x) for x in unicodedata.normalize("NFD", t) if not "\u0300" <= x <= "\u036f"]
+        for a, b in zip(c, c[1:]):
+            if a < _TOP and b < _TOP and SCRIPT[a] and SCRIPT[a] == SCRIPT[b]:
+                out[a, b] = out.get((a, b), 0) + n
+    return out
+
+
+@lru_cache(maxsize=2)
+def speller(vocabulary: str) -> Speller:
+    """The worker's speller: neighbouring letters in a vocabulary's tokens, which are the commoner the smaller their rank."""
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    texts: dict[str, int] = {}
+    for t, r in ranks.items():
+        try:
+            texts[t.decode()] = 1 + 10_000_000 // (r + 256)
+        except UnicodeDecodeError:
+            continue  # a piece of a character
+    return Speller(letter_pairs(texts))
 
 
 class Speller:
@@ -88,7 +148,7 @@ class Speller:
         self.firsts: dict[int, int] = {}
         for (a, _), n in counts.items():
             self.firsts[a] = self.firsts.get(a, 0) + n
-        self.whole = {s: 1 + sum(n for a, n in self.firsts.items() if SCRIPT[a] == s) for s in (_LATIN, _CYRILLIC, _GREEK)}
+        self.whole = {s: 1 + sum(n for a, n in self.firsts.items() if SCRIPT[a] == s) for s in (_LATIN, _CYRILLIC, _GREEK, _ARMENIAN)}
         self.words: dict[str, str] = {}
 
     def _first(self, c: int) -> float:
@@ -139,46 +199,21 @@ class Speller:
 
     def form(self, text: str) -> str:
         """The one form of all texts that look like ``text``."""
-        return unicodedata.normalize("NFC", _WORD.sub(self.word, skeleton(text)))
-
-
-def letter_pairs(df: DataFrame, text: str) -> dict[tuple[int, int], int]:
-    """Counts of neighbouring letters of one script over all texts.
-
-    A batch counts by array operations; pairs of three fixed alphabets are at
-    most 10^5, which bounds what reaches the driver.
-    """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                texts = "\n".join(x for x in b.column(0).slice(at, 500).to_pylist() if x)
-                plain = texts if texts.isascii() else unicodedata.normalize("NFD", texts.translate(_plain()))
-                c = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
-                c = c[(c < 0x300) | (c > 0x36F)]
-                s = SCRIPT[np.where(c < _TOP, c, 0)]
-                both = (s[1:] == s[:-1]) & (s[1:] > 0)
-                code = c[:-1][both].astype(np.int64) * _TOP + c[1:][both]
-                code, at_code = np.unique(np.concatenate([total[0], code]), return_inverse=True)
-                total = code, np.bincount(at_code, np.concatenate([total[1], np.ones(both.sum(), np.int64)]), len(code)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(total[0]), pa.array(total[1])], ["pair", "n"])
-
-    rows = spread(df.select(text)).mapInArrow(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    return {(r.pair // _TOP, r.pair % _TOP): r.n for r in rows}
+        if text.isascii():
+            return _ASCII_WORD.sub(self.word, text)
+        plain = skeleton(text)
+        return unicodedata.normalize("NFC", (_WORD if _MIXED.search(plain) else _OPEN_WORD).sub(self.word, plain))
 
 
-def _forms(df: DataFrame, id_col: str, text: str, hashed: bool) -> DataFrame:
-    pairs = letter_pairs(df, text)
-
+def _forms(df: DataFrame, id_col: str, text: str, hashed: bool, vocabulary: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(pairs)
+        form_of = speller(vocabulary).form
         digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).digest()
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 raw = part.column(1).to_pylist()
-                form = [None if t is None else speller.form(t) for t in raw]
+                form = [None if t is None else form_of(t) for t in raw]
                 if not hashed:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(form, pa.string())], ["id", "form"])
                     continue
@@ -189,47 +224,108 @@ def _forms(df: DataFrame, id_col: str, text: str, hashed: bool) -> DataFrame:
     return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text))).mapInArrow(work, schema)
 
 
-def one_form(df: DataFrame, id_col: str, text: str) -> DataFrame:
+def one_form(df: DataFrame, id_col: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(id, form): each text in the form that it shares with all texts of its looks.
 
-    Defined cases: a null text has a null form, an empty one an empty form;
-    case, accents, raised digits, punctuation, line breaks and the number of
-    blanks stay; repeated rows stay; an empty table gives no rows; other
+    ``vocabulary``: a public vocabulary's file, at the same path on every
+    executor. Defined cases: a null text has a null form, an empty one an empty
+    form; case, accents, raised digits, punctuation, line breaks and the number
+    of blanks stay; repeated rows stay; an empty table gives no rows; other
     columns are not read.
     """
-    return _forms(df, id_col, text, hashed=False).withColumnRenamed("id", id_col)
+    return _forms(df, id_col, text, False, vocabulary).withColumnRenamed("id", id_col)
+
 
+def look_classes(df: DataFrame, id_col: str, text: str, vocabulary: str = VOCABULARY, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(id, class_id): one row a document; class_id is the smallest id of the documents that look like it.
 
-def look_the_same(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    Defined cases: null texts and those without any visible character are in no
+    class; ids are unique; an empty table gives no rows; other columns are not
+    read.
+    """
+    rows = cut(_forms(df, id_col, text, True, vocabulary).where("form is not null").select("id", "form"))
+    first = rows.groupBy("form").agg(F.min("id").alias("class_id"))
+    return lookup_join(rows, first, "form", hot_rows).select(F.col("id").alias(id_col), "class_id")
+
+
+def look_the_same(df: DataFrame, id_col: str, text: str, vocabulary: str = VOCABULARY, hot_rows: int = HOT_ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all rows that look the same but differ as strings.
 
     Texts are classed by form (as SHA-256 of form and text). Pairs are built
     between distinct texts first; exact copies only multiply finished pairs
-    and are never paired with one another.
+    and are never paired with one another. A text's copies are cut into blocks
+    of about ``block`` rows and a class's texts into as large ones, and what is
+    joined are blocks: a text of a third of all rows is many rows of ids, and no
+    task holds more than one block of it.
 
     Defined cases: null texts and those without any visible character are in
     no pair; ids are unique; an empty table gives no rows; other columns are
     not read.
     """
-    rows = cut(_forms(df, id_col, text, hashed=True).where("form is not null"))
-    texts = rows.select("form", "raw").distinct()
-    several = texts.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
-    texts = texts.join(several, "form", "left_semi")
-    alike = texts.withColumnRenamed("raw", "raw_a").join(texts.withColumnRenamed("raw", "raw_b"), "form").where("raw_a < raw_b").select("raw_a", "raw_b")
-    side = lambda s: rows.select(F.col("raw").alias(f"raw_{s}"), F.col("id").alias(f"id_{s}"))
-    pairs = alike.join(side("a"), "raw_a").join(side("b"), "raw_b")
-    return pairs.select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b"))
-
-
-def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = cut(_forms(df, id_col, text, True, vocabulary).where("form is not null"))
+    texts = rows.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("n"))
+    several = texts.groupBy("form").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    parts = lambda c: F.ceil(F.col(c) / block).cast("int")
+    texts = cut(texts.join(several, "form").select("form", "raw", parts("n").alias("blocks"), parts("d").alias("salts")))
+    left = texts.select("form", F.pmod(F.xxhash64("raw"), "salts").cast("int").alias("salt"), F.col("raw").alias("raw_a"), F.col("blocks").alias("blocks_a"))
+    right = texts.select("form", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("raw").alias("raw_b"), F.col("blocks").alias("blocks_b"))
+    alike = left.join(right, ["form", "salt"]).where("raw_a < raw_b")
+    every = lambda s: F.explode(F.sequence(F.lit(0), F.col(f"blocks_{s}") - 1)).alias(f"block_{s}")
+    alike = alike.select("raw_a", "raw_b", "blocks_b", every("a")).select("raw_a", "block_a", "raw_b", every("b"))
+    copies = lookup_join(rows.select("raw", "id"), texts.select("raw", "blocks"), "raw", hot_rows)
+    ids = copies.groupBy("raw", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")).agg(F.collect_list("id").alias("ids"))
+    side = lambda s: ids.select(F.col("raw").alias(f"raw_{s}"), F.col("block").alias(f"block_{s}"), F.col("ids").alias(f"ids_{s}"))
+    both = alike.join(side("a"), ["raw_a", "block_a"]).join(side("b"), ["raw_b", "block_b"])
+    pairs = both.select(F.explode("ids_a").alias("a"), "ids_b").select("a", F.explode("ids_b").alias("b"))
+    return pairs.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
+
+
+def p10_found(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Documents that look the same but differ as strings."""
-    return look_the_same(read_table(spark, sf, "documents"), "doc_id", "text")
+    return look_the_same(read_table(spark, sf, "documents"), "doc_id", "text", vocabulary)
 
 
-def p10_forms(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document's text in its one form."""
-    return one_form(read_table(spark, sf, "documents"), "doc_id", "text")
+def p10_classes(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Every visible document with the smallest document that looks like it."""
+    return look_classes(read_table(spark, sf, "documents"), "doc_id", "text", vocabulary)
 
 
-QUERIES = {"p10_found": p10_found, "p10_forms": p10_forms}
-SQL: dict[str, str] = {}
+def p10_forms(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Every document's text in its one form."""
+    return one_form(read_table(spark, sf, "documents"), "doc_id", "text", vocabulary)
+
+
+QUERIES = {"p10_found": p10_found, "p10_classes": p10_classes, "p10_forms": p10_forms}
+
+
+def _looks_sql() -> str:
+    """Documents with what they look like (CTE looks): single replacements on composed texts, no decomposition and no search."""
+    lit = lambda t: "'" + t.replace("'", "''") + "'"
+    plain = _plain()
+    gone = _set([c for c, r in plain.items() if r is None], "\\x{{{:x}}}")
+    letters = {chr(c): r for c, r in _CLASS.items()}
+    for c in range(0x80, 0x2000):
+        whole = unicodedata.normalize("NFD", chr(c))
+        if len(whole) > 1 and ord(whole[0]) in _CLASS:
+            letters[chr(c)] = unicodedata.normalize("NFC", _CLASS[ord(whole[0])] + whole[1:])
+
+    def swapped(x: str, table: dict[str, str]) -> str:
+        one = {a: b for a, b in table.items() if len(b) == 1}
+        for a, b in table.items():
+            if len(b) > 1:
+                x = f"replace({x}, {lit(a)}, {lit(b)})"
+        return f"translate({x}, {lit(''.join(one))}, {lit(''.join(one.values()))})"
+
+    step = f"nfc_normalize(regexp_replace(text, '[{gone}]', '', 'g'))"
+    step = swapped(step, {chr(c): r for c, r in plain.items() if r is not None})
+    step = f"nfc_normalize({swapped(f'nfc_normalize({step})', letters)})"
+    blank = "[\\s\\x{1c}-\\x{1f}\\x{85}\\x{1680}\\x{2028}\\x{2029}]"
+    return f"""
+        looks AS MATERIALIZED (SELECT * FROM (SELECT doc_id, text, {step} AS look FROM documents WHERE text IS NOT NULL)
+                               WHERE regexp_replace(look, '{blank}', '', 'g') <> '')"""
+
+
+SQL = {
+    "p10_found": f"WITH {_looks_sql()} SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM looks a JOIN looks b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p10_classes": f"WITH {_looks_sql()} SELECT doc_id, min(doc_id) OVER (PARTITION BY look) AS class_id FROM looks",
+}

@@ -4,183 +4,213 @@ A source that needs f copies of each document gets floor(f) for certain and the
 rest as a probability. Pivotal rounding pairs two documents and moves token
 mass from one to the other, in a random direction that keeps both
 expectations, until one of them is 0 or 1; the source's tokens stay the same
-all along. Each partition leaves at most one undecided document a source, and
-a tree of partitions decides those, so a source misses its tokens by less
-than one document.
+all along. Each leaf of documents leaves few undecided ones a source, and a
+tree over the leaves decides those, so a source misses its tokens by less
+than one document. Leaves are a fixed number of groups by the document's hash
+and draws are hashes of the paired documents, so a seed gives the same mix on
+any cluster and for any layout of the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
 from ..session import cut, width
 from ..sources import read_table
 from .encode import VOCABULARY, encode_texts
+from .ribbon import mix
 
+LEAVES = 4096
 FAN_IN = 64
-MAX_TARGETS = 10_000
+CHUNK = 4096
+HOT_ROWS = 100_000
 SEED = 42
 _STATE = "source string, doc_id long, tokens long, p double"
+_EPS = 1e-12
 
 
-def pivot(tokens: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Rounds probabilities to 0 or 1 but for at most one; sum(tokens * p) stays.
+def draws(i: np.ndarray, j: np.ndarray, salt: int) -> np.ndarray:
+    """A number in [0, 1) for each pair of ids."""
+    h = mix(mix(i.astype(np.int64).view(np.uint64), salt) ^ j.astype(np.int64).view(np.uint64), salt + 1)
+    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
-    Rounds of disjoint pairs, all at once; a pair leaves at most one undecided.
+
+def pivot(tokens: np.ndarray, p: np.ndarray, ids: np.ndarray, segment: np.ndarray, salt: int) -> np.ndarray:
+    """Rounds probabilities to 0 or 1 but for at most one in each segment; sum(tokens * p) of a segment stays.
+
+    Rows of a segment are neighbours. Rounds of disjoint pairs of neighbouring
+    undecided rows, all segments at once; a pair leaves at most one undecided.
     """
-    p = p.copy()
+    p = np.where(p <= _EPS, 0.0, np.where(p >= 1 - _EPS, 1.0, p))
     open_ = np.flatnonzero((p > 0) & (p < 1))
     while len(open_) > 1:
-        half = len(open_) // 2
-        i, j = open_[: 2 * half : 2], open_[1 : 2 * half : 2]
+        seg, n = segment[open_], np.arange(len(open_))
+        new = np.append(True, seg[1:] != seg[:-1])
+        first = (n - np.maximum.accumulate(np.where(new, n, 0))) % 2 == 0
+        first &= np.append(~new[1:], False)  # its neighbour is of the same segment
+        if not first.any():
+            break
+        at = np.flatnonzero(first)
+        i, j = open_[at], open_[at + 1]
         wi, wj = tokens[i].astype(float), tokens[j].astype(float)
         up_i, up_j = np.minimum((1 - p[i]) * wi, p[j] * wj), np.minimum(p[i] * wi, (1 - p[j]) * wj)
-        to_i = rng.random(half) * (up_i + up_j) < up_j
+        to_i = draws(ids[i], ids[j], salt) * (up_i + up_j) < up_j
         full = np.where(to_i, (1 - p[i]) * wi <= p[j] * wj, p[i] * wi <= (1 - p[j]) * wj)  # i is the one decided
         moved = np.where(to_i, up_i, -up_j)
         pi, pj = p[i] + moved / wi, p[j] - moved / wj
         p[i] = np.where(full, to_i.astype(float), pi)
         p[j] = np.where(full, pj, (~to_i).astype(float))
-        rest = open_[2 * half :]
         both = np.concatenate([i, j])
-        left = both[(p[both] > 1e-12) & (p[both] < 1 - 1e-12)]
-        p[both] = np.where(p[both] <= 1e-12, 0.0, np.where(p[both] >= 1 - 1e-12, 1.0, p[both]))
-        open_ = np.sort(np.concatenate([left, rest]))
+        p[both] = np.where(p[both] <= _EPS, 0.0, np.where(p[both] >= 1 - _EPS, 1.0, p[both]))
+        open_ = open_[(p[open_] > 0) & (p[open_] < 1)]
     return p
 
 
-def _rounding(level: int, last: bool, seed: int):
-    """Partition function over _STATE sorted by (source, doc_id)."""
+def _rounding(last: bool, salt: int):
+    """Partition function over (leaf, _STATE) sorted by (leaf, source, doc_id).
+
+    Rows of one leaf and source are a run; a run's every ``CHUNK`` rows from
+    its first one are rounded by themselves, wherever Arrow's batches end. At
+    the ``last`` level a run is one segment, and its one undecided document is
+    decided by its own probability.
+    """
+
+    def settle(source: pa.Array, ids: np.ndarray, tokens: np.ndarray, p: np.ndarray, segment: np.ndarray) -> pa.RecordBatch:
+        q = pivot(tokens, p, ids, segment, salt)
+        if last:
+            open_ = np.flatnonzero((q > 0) & (q < 1))
+            q[open_] = (draws(ids[open_], ids[open_], salt + 2) < q[open_]).astype(float)
+        return pa.RecordBatch.from_arrays([source, pa.array(ids), pa.array(tokens), pa.array(q)], ["source", "doc_id", "tokens", "p"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: dict[str, tuple[int, int, float]] = {}
+        held: pa.Table | None = None  # the rows of a segment that may go on
+        run, seen = None, 0  # that segment's run, and how many of the run's rows were settled before it
         for b in batches:
-            source = np.array(b.column(0).to_pylist(), object)
-            ids, tokens, p = (b.column(i).to_numpy() for i in (1, 2, 3))
-            for s in dict.fromkeys(source.tolist()):
-                at = source == s
-                i, t, q = ids[at], tokens[at], p[at]
-                if s in left:
-                    x = left.pop(s)
-                    i, t, q = np.append(i, x[0]), np.append(t, x[1]), np.append(q, x[2])
-                q = pivot(t, q, np.random.default_rng([seed, level, int(i[0]) & 0x7FFFFFFF, len(i)]))
-                open_ = np.flatnonzero((q > 0) & (q < 1))
-                for k in open_:
-                    left[s] = (int(i[k]), int(t[k]), float(q[k]))
-                done = (q == 0) | (q == 1)
-                yield pa.RecordBatch.from_arrays([pa.array([s] * int(done.sum()), pa.string()), pa.array(i[done]), pa.array(t[done]), pa.array(q[done])], ["source", "doc_id", "tokens", "p"])
-        if left:
-            rows = [(s, *x) for s, x in sorted(left.items())]
-            if last:  # one document a source: its own probability decides
-                rows = [(s, i, t, float(np.random.default_rng([seed, i & 0x7FFFFFFF]).random() < q)) for s, i, t, q in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["source", "doc_id", "tokens", "p"])
+            if not b.num_rows:
+                continue
+            table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            table = table.combine_chunks()
+            leaf = table.column(0).to_numpy()
+            source = table.column(1).combine_chunks().dictionary_encode().indices.to_numpy()
+            n = np.arange(len(leaf))
+            new = np.append(True, (leaf[1:] != leaf[:-1]) | (source[1:] != source[:-1]))
+            starts = np.maximum.accumulate(np.where(new, n, 0))
+            place = n - starts
+            key = (int(leaf[0]), table.column(1)[0].as_py())
+            if key == run:
+                place[starts == 0] += seen
+            segment = np.cumsum(new | ((place % CHUNK == 0) & ~last))
+            z = int(np.searchsorted(segment, segment[-1]))  # all but the last segment are whole
+            if z:
+                yield settle(table.column(1).combine_chunks().slice(0, z), *(table.column(i).to_numpy()[:z] for i in (2, 3, 4)), segment[:z])
+            run, seen = (int(leaf[z]), table.column(1)[z].as_py()), int(place[z])
+            held = table.slice(z)
+        if held is not None:
+            yield settle(held.column(1).combine_chunks(), *(held.column(i).to_numpy() for i in (2, 3, 4)), np.zeros(held.num_rows, np.int64))
 
     return work
 
 
-def round_copies(state: DataFrame, parts: int, seed: int = SEED) -> DataFrame:
+def round_copies(state: DataFrame, seed: int = SEED) -> DataFrame:
     """``state`` (source, doc_id, tokens, p) with every p rounded to 0 or 1.
 
-    Partitions are by document, so no source makes one of them large. Level
-    by level the undecided documents, at most one a source and partition, go
-    to a 64th of the partitions.
+    Leaves are by document, so no source makes one of them large. Level by
+    level the undecided documents, about one a source and leaf, go to a 64th
+    of the leaves; those of the root, a few a source, are spread by source.
     """
-    out, level, rows = [], 0, state
+    out, level, leaves, rows = [], 0, LEAVES, state
     while True:
-        last = parts == 1
-        spread = rows.repartition(parts, F.xxhash64(F.lit(level), "doc_id")).sortWithinPartitions("source", "doc_id")
-        done = cut(spread.mapInArrow(_rounding(level, last, seed), _STATE))
+        last = leaves == 1
+        leaf = F.floor(F.pmod(F.xxhash64("doc_id"), F.lit(LEAVES)) / FAN_IN**level).cast("int")
+        spread = rows.select(leaf.alias("leaf"), "source", "doc_id", "tokens", "p").repartition(width(state.sparkSession), *(["source"] if last else ["leaf"]))
+        done = cut(spread.sortWithinPartitions("leaf", "source", "doc_id").mapInArrow(_rounding(last, seed + 3 * level), _STATE))
         out.append(done.where("p = 0 or p = 1"))
         if last:
             break
-        rows, level, parts = done.where("p > 0 and p < 1"), level + 1, -(-parts // FAN_IN)
+        rows, level, leaves = done.where("p > 0 and p < 1"), level + 1, leaves // FAN_IN
     both = out[0]
     for d in out[1:]:
         both = both.unionByName(d)
     return both
 
 
-def plan_copies(targets: list[tuple[str, float, int]], available: dict[str, int], total: int) -> dict[str, float]:
-    """Copies of each document of a source: its part of ``total`` over its tokens, at most max_repeats."""
-    out = {}
-    for s, share, repeats in targets:
-        have = available.get(s, 0)
-        want = max(share or 0.0, 0.0) * total
-        out[s] = min(want / have, float(max(repeats or 0, 0))) if have else 0.0
-    return out
+def _positive(c: str) -> Column:
+    return F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def plan_copies(targets: DataFrame, sizes: DataFrame, total: int | None) -> DataFrame:
+    """(source, whole, part): copies of each document of a source, its part of ``total`` over its tokens, at most max_repeats, as whole copies and the rest."""
+    have = targets.select("source", "target_share", "max_repeats").where("source is not null").join(sizes.groupBy("source").agg(F.sum("tokens").alias("have")), "source")
+    have = cut(have.where("have > 0"))
+    total = have.agg(F.coalesce(F.sum("have"), F.lit(0))).first()[0] if total is None else total
+    f = F.least(_positive("target_share") * total / F.col("have"), _positive("max_repeats"))
+    return have.withColumn("f", f).select("source", F.floor("f").alias("whole"), (F.col("f") - F.floor("f")).alias("part"))
 
 
-def mix_sources(sizes: DataFrame, targets: list[tuple[str, float, int]], total: int | None = None, seed: int = SEED) -> DataFrame:
+def mix_sources(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = SEED, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, source, tokens, copies) of the documents that enter the mix.
 
-    ``sizes``: (doc_id, source, tokens), read more than once. ``total``: the
+    ``sizes``: (doc_id, source, tokens), read more than once; ``targets``:
+    (source, target_share, max_repeats), any number of sources. ``total``: the
     mix's size in tokens; by default all tokens of the targets' sources. A
     source whose documents, each repeated max_repeats times, don't reach its
     part gives all of that; what it lacks isn't made up by others, so the
     others stand to one another as their targets do.
 
     Defined cases: documents without tokens, of a null source or of a source
-    without target don't enter; a null share or repeat limit is 0; ids are
-    unique; an empty table gives no rows. The same seed gives the same mix,
-    however the table is laid out in files.
+    without target don't enter; a null share or repeat limit is 0; ids and
+    target sources are unique; an empty table gives no rows. The same seed
+    gives the same mix, however the table is laid out and whatever the cluster.
     """
-    spark = sizes.sparkSession
-    names = [s for s, _, _ in targets]
-    rows = sizes.select("source", "doc_id", "tokens").where(F.col("source").isin(names) & (F.col("tokens") > 0))
-    available = {r.source: r.t for r in rows.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    total = sum(available.values()) if total is None else total
-    plan = plan_copies(targets, available, total)
-    split = {s: (floor(f), f - floor(f)) for s, f in plan.items()}
-    table = F.broadcast(spark.createDataFrame([(s, w, p) for s, (w, p) in split.items()], "source string, whole long, p double"))
-    state = rows.join(table, "source")
-    extra = round_copies(state.where("p > 0").select("source", "doc_id", "tokens", "p"), width(spark), seed)
-    chosen = extra.join(table.drop("p"), "source").select("doc_id", "source", "tokens", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
-    certain = state.where("p = 0").select("doc_id", "source", "tokens", F.col("whole").alias("copies"))
-    return chosen.unionByName(certain).where("copies > 0")
+    rows = sizes.select("source", "doc_id", "tokens").where(F.col("tokens") > 0)
+    state = lookup_join(rows, plan_copies(targets, sizes, total), "source", hot_rows)
+    undecided = state.where(F.col("part") > _EPS).select("source", "doc_id", (F.col("tokens")).alias("tokens"), F.col("part").alias("p"))
+    extra = round_copies(undecided, seed).where("p = 1").select("doc_id", "source", "tokens", F.lit(1).cast("long").alias("copies"))
+    certain = state.where("whole > 0").select("doc_id", "source", "tokens", F.col("whole").cast("long").alias("copies"))
+    return certain.unionByName(extra).groupBy("doc_id", "source", "tokens").agg(F.sum("copies").alias("copies"))
 
 
 def mix_report(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row for each target: what the source has, what it gives, and its share of the mix.
 
-    ``reached`` tells whether its documents and repeats suffice for its part
-    of the planned total; a source without documents has share 0.
+    ``enough`` tells whether its documents and repeats suffice for its part of
+    the planned total, ``reached`` whether its share of the mix comes to the
+    target but for less than its largest document; where others lack, it is
+    above. A source without documents has share 0.
     """
-    have = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("available"))
+    have = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("available"), F.max("tokens").alias("largest"))
     gave = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed"), F.max("copies").alias("most_copies"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     rows = targets.select("source", "target_share", "max_repeats").join(have, "source", "left").join(gave, "source", "left")
-    rows = rows.select("source", "target_share", "max_repeats", zero("docs"), zero("available"), zero("mixed"), zero("most_copies"))
+    rows = rows.select("source", "target_share", "max_repeats", zero("docs"), zero("available"), zero("mixed"), zero("most_copies"), zero("largest"))
     whole, planned = rows.agg(F.sum("mixed")).scalar(), rows.agg(F.sum("available")).scalar()
-    part = F.col("target_share") * planned
-    return rows.withColumns({"share": F.coalesce(F.try_divide(F.col("mixed").cast("double"), whole), F.lit(0.0)), "share_of_plan": F.coalesce(F.try_divide(F.col("mixed").cast("double"), planned), F.lit(0.0)), "reached": F.col("available") * F.col("max_repeats") >= part})
+    share = lambda of: F.coalesce(F.try_divide(F.col("mixed").cast("double"), of), F.lit(0.0))
+    out = rows.withColumns({"share": share(whole), "share_of_plan": share(planned), "enough": F.col("available") * F.col("max_repeats") >= F.col("target_share") * planned})
+    return out.withColumn("reached", F.coalesce(F.col("mixed") + F.greatest("largest", F.lit(1)) > F.col("target_share") * whole, F.lit(False))).drop("largest")
 
 
-def _inputs(spark: SparkSession, sf: str, vocabulary: str) -> tuple[DataFrame, DataFrame, list[tuple[str, float, int]]]:
-    table = read_table(spark, sf, "mix_targets")
-    targets = [tuple(r) for r in table.select("source", "target_share", "max_repeats").where("source is not null").limit(MAX_TARGETS + 1).collect()]
-    if len(targets) > MAX_TARGETS:
-        raise ValueError(f"more than {MAX_TARGETS} targets")
-    wanted = read_table(spark, sf, "documents").where(F.col("source").isin([s for s, _, _ in targets]))
-    sizes = cut(encode_texts(wanted, vocabulary=vocabulary, keep=["doc_id", "source"], ids=False).withColumnRenamed("n_tokens", "tokens"))
-    return sizes, table, targets
+def _inputs(spark: SparkSession, sf: str, vocabulary: str) -> tuple[DataFrame, DataFrame]:
+    targets = read_table(spark, sf, "mix_targets")
+    wanted = read_table(spark, sf, "documents").select("doc_id", "source", "text").join(targets.select("source"), "source", "left_semi")
+    return cut(encode_texts(wanted, vocabulary=vocabulary, keep=["doc_id", "source"], ids=False).withColumnRenamed("n_tokens", "tokens")), targets
 
 
 def p9_copies(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """The documents of the mix with their tokens and copies."""
-    sizes, _, targets = _inputs(spark, sf, vocabulary)
+    sizes, targets = _inputs(spark, sf, vocabulary)
     return mix_sources(sizes, targets)
 
 
 def p9_shares(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """The shares reached, for every target."""
-    sizes, table, targets = _inputs(spark, sf, vocabulary)
-    return mix_report(cut(mix_sources(sizes, targets)), sizes, table)
+    sizes, targets = _inputs(spark, sf, vocabulary)
+    return mix_report(cut(mix_sources(sizes, targets)), sizes, targets)
 
 
 QUERIES = {"p9_copies": p9_copies, "p9_shares": p9_shares}

@@ -2,10 +2,12 @@
 
 A key hashes to a start, a 64-bit coefficient row and a fingerprint. Solving
 ``row . solution[start : start + 64] = fingerprint`` for all keys of a sealed
-batch gives an array of about 1.1 fingerprints a key; a probe recomputes the
-left side. A key of the batch always matches, another one with probability
-2^-bits. A batch is cut into blocks of about a thousand keys, so numpy solves
-the blocks of a batch side by side.
+batch gives about 1.1 fingerprints a key; a probe recomputes the left side. A
+key of the batch always matches, another one with probability 2^-bits. A batch
+is cut into blocks of about a thousand keys, so numpy solves the blocks of a
+batch side by side. The solution is stored as one plane of bits for each bit of
+the fingerprint: a probe reads one window of each plane, and an absent key is
+done after two planes on average.
 """
 
 from __future__ import annotations
@@ -35,13 +37,13 @@ def _trailing_zeros(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ribbon:
-    """A sealed batch's filter."""
+    """A sealed batch's filter; ``planes``: (bits, words), a slot is a bit of its word."""
 
     seed: int
     blocks: int
     slots: int
     bits: int
-    solution: np.ndarray
+    planes: np.ndarray
 
     def _equations(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = mix(keys, 3 * self.seed)
@@ -51,24 +53,30 @@ class Ribbon:
         mark = mix(keys, 3 * self.seed + 2) >> _U(64 - self.bits)
         return (block * _U(self.slots) + start).astype(np.int64), row, mark.astype(np.uint16)
 
-    def contains(self, keys: np.ndarray, chunk: int = 1 << 16) -> np.ndarray:
+    def contains(self, keys: np.ndarray) -> np.ndarray:
         """Whether each key matches: certain for keys of the batch."""
         out = np.zeros(len(keys), bool)
-        if not self.blocks:
+        if not self.blocks or not len(keys):
             return out
-        for at in range(0, len(keys), chunk):
-            pos, row, mark = self._equations(keys[at : at + chunk])
-            for j in range(BAND):
-                mark ^= self.solution[pos + j] * ((row >> _U(j)) & _U(1)).astype(np.uint16)
-            out[at : at + chunk] = mark == 0
+        pos, row, mark = self._equations(keys)
+        word, off = pos >> 6, (pos & 63).astype(_U)
+        left = np.arange(len(keys))
+        for j, plane in enumerate(self.planes):
+            window = (plane[word] >> off) | ((plane[word + 1] << _U(1)) << (_U(63) - off))
+            same = (np.bitwise_count(window & row) & 1) == ((mark >> np.uint16(j)) & 1)
+            left, word, off, row, mark = left[same], word[same], off[same], row[same], mark[same]
+            if not len(left):
+                return out
+        out[left] = True
         return out
 
     def dump(self) -> bytes:
-        return np.array([self.seed, self.blocks, self.slots, self.bits], np.int64).tobytes() + self.solution.tobytes()
+        return np.array([self.seed, self.blocks, self.slots, self.bits], np.int64).tobytes() + self.planes.tobytes()
 
     @classmethod
     def load(cls, raw: bytes) -> Ribbon:
-        return cls(*np.frombuffer(raw, np.int64, 4).tolist(), np.frombuffer(raw, np.uint16, offset=32))
+        head = np.frombuffer(raw, np.int64, 4).tolist()
+        return cls(*head, np.frombuffer(raw, _U, offset=32).reshape(head[3], -1))
 
 
 def seal(keys: np.ndarray, bits: int = 12) -> Ribbon:
@@ -78,19 +86,27 @@ def seal(keys: np.ndarray, bits: int = 12) -> Ribbon:
     """
     keys = np.unique(keys.astype(_U))
     if not len(keys):
-        return Ribbon(0, 0, 0, bits, np.zeros(0, np.uint16))
-    blocks, most = max(1, len(keys) // BLOCK_KEYS), 0
+        return Ribbon(0, 0, 0, bits, np.zeros((bits, 0), _U))
+    blocks = max(1, len(keys) // BLOCK_KEYS)
     for seed in range(64):
         block = ((mix(keys, 3 * seed) >> _U(32)) * _U(blocks)) >> _U(32)
         most = int(np.bincount(block.astype(np.int64), minlength=blocks).max())
-        filt = Ribbon(seed, blocks, int(most * (1.08 + 0.04 * seed)) + BAND + 8, bits, np.zeros(0, np.uint16))
+        filt = Ribbon(seed, blocks, int(most * (1.08 + 0.04 * seed)) + BAND + 8, bits, np.zeros((bits, 0), _U))
         rows = _eliminate(filt, *filt._equations(keys))
         if rows is not None:
-            filt.solution = _back_substitute(filt, *rows)
+            filt.planes = _planes(_back_substitute(filt, *rows))
             return filt
     raise RuntimeError("no solvable system in 64 tries")
 
 
+def _planes(solution: np.ndarray) -> np.ndarray:
+    """Rows of 0 and 1 as planes of bits, with a word to spare for the last window."""
+    k, n = solution.shape
+    padded = np.zeros((k, (n // 64 + 2) * 64), np.uint8)
+    padded[:, :n] = solution
+    return np.packbits(padded, axis=1, bitorder="little").view("<u8").astype(_U)
+
+
 def _eliminate(filt: Ribbon, pos: np.ndarray, row: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """One equation for each slot that leads one, or None if the system has no solution.
 
@@ -119,15 +135,17 @@ def _eliminate(filt: Ribbon, pos: np.ndarray, row: np.ndarray, mark: np.ndarray)
 
 
 def _back_substitute(filt: Ribbon, rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """The solution from the last slot to the first, all blocks and bits at once."""
-    b, m, bits = filt.blocks, filt.slots, np.arange(filt.bits, dtype=np.uint16)
-    rows, marks = rows.reshape(b, m), marks.reshape(b, m)
-    window = np.zeros((b, filt.bits), _U)
-    out = np.zeros((b, m), np.uint16)
+    """The solution from the last slot to the first, all blocks and bits at once: (bits, slots) of 0 and 1."""
+    b, m, k = filt.blocks, filt.slots, filt.bits
+    rows = np.ascontiguousarray(rows.reshape(b, m).T)[:, :, None]
+    out = np.ascontiguousarray(marks.reshape(b, m).T)[:, :, None] >> np.arange(k, dtype=np.uint16)
+    out = out.astype(np.uint8)
+    lead = (rows != 0).astype(np.uint8)  # free slots are 0
+    window = np.zeros((b, k), _U)
     for p in range(m - 1, -1, -1):
         window <<= _U(1)
-        bit = (np.bitwise_count(window & rows[:, p, None]) & 1) ^ ((marks[:, p, None] >> bits) & 1).astype(np.uint8)
-        bit[rows[:, p] == 0] = 0
-        window |= bit.astype(_U)
-        out[:, p] = (bit.astype(np.uint16) << bits).sum(1, dtype=np.uint16)
-    return out.ravel()
+        bit = out[p]
+        bit ^= np.bitwise_count(window & rows[p])
+        bit &= lead[p]
+        window |= bit
+    return out.transpose(2, 1, 0).reshape(k, b * m)

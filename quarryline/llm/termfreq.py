@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import spread, width
 from ..sources import read_table
 from .clean import RECORD, distinct_postings
 
@@ -123,45 +123,62 @@ def ngram_counts(df: DataFrame, tokens: str, max_n: int = 3, block_tokens: int =
     return _sum(df.select(F.col(tokens).cast("array<string>")).mapInArrow(work, _COUNTS))
 
 
-def term_counts(df: DataFrame, record: list[str], term: str, weight: str) -> DataFrame:
+def _codes(columns: list[pa.ChunkedArray]) -> np.ndarray:
+    """One number for each row, equal for rows equal in all columns; null is a value."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        code = c.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        out = np.unique(out * (code.max(initial=0) + 1) + code, return_inverse=True)[1]
+    return out
+
+
+def term_counts(df: DataFrame, record: list[str], term: str, weight: str, block_rows: int = 1 << 18) -> DataFrame:
     """(term, occurrences, records) of rows that each hold one weighted term of a record.
 
-    A record's rows may lie anywhere and repeat a term. A range partitioning
-    by term and record makes every partition a block: equal pairs always meet
-    in one, and a term of a third of all rows is spread over many.
+    A record's rows may lie anywhere and repeat a term. Rows are spread by a
+    hash of record and term, so equal pairs meet in one partition while a term
+    or a record of a third of all rows is spread over all; a block is so many
+    rows of a partition, and its suffix array is that of sequences of one
+    token. A pair that a block's end cuts in two is a duplicate adjacency over
+    the edge and taken off there, so blocks are bounded however often a pair
+    is repeated.
 
     Defined cases: null terms are left out; a null weight adds no occurrence
     but the row holds the term; null record parts are values; the empty term is
     a term; an empty table gives no rows; other columns are not read.
     """
-    key = F.to_json(F.struct(*record))  # one text for a record, nulls and all
-    rows = df.where(F.col(term).isNotNull()).select(F.col(term).alias("t"), key.alias("r"), F.coalesce(F.col(weight), F.lit(0)).cast("long").alias("w"))
+    parts = [f"r{i}" for i in range(len(record))]
+    rows = df.where(F.col(term).isNotNull()).select(F.col(term).alias("t"), F.coalesce(F.col(weight), F.lit(0)).cast("long").alias("w"), *(F.col(c).alias(p) for c, p in zip(record, parts)))
+    rows = rows.withColumn("h", F.xxhash64("t", *parts))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []
+        last = None
 
-        def close(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            t, r = (table.column(i).combine_chunks().dictionary_encode() for i in (0, 1))
-            tokens, rec = t.indices.to_numpy().astype(np.int64), r.indices.to_numpy().astype(np.int64)
-            yield from _emit(t.dictionary, tokens, rec, table.column(2).to_numpy(), np.arange(len(tokens)), 1)
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal last
+            table = pa.Table.from_batches(held)
+            pair = lambda i: [table.column(j)[i].as_py() for j in (0, *range(2, 2 + len(parts)))]
+            if pair(0) == last:
+                yield pa.RecordBatch.from_arrays([pa.array([[last[0]]], pa.list_(pa.string())), pa.array([0]), pa.array([-1])], ["gram", "occurrences", "records"])
+            last = pair(table.num_rows - 1)
+            t = table.column(0).combine_chunks().dictionary_encode()
+            record = _codes([table.column(2 + i) for i in range(len(parts))])
+            yield from _emit(t.dictionary, t.indices.to_numpy().astype(np.int64), record, table.column(1).to_numpy(), np.arange(table.num_rows), 1)
 
+        n = 0
         for b in batches:
-            carry.append(b)
-            if sum(x.num_rows for x in carry) < 200_000:
-                continue
-            table = pa.Table.from_batches(carry)
-            last = table.num_rows - 1
-            t, r = table.column(0)[last].as_py(), table.column(1)[last].as_py()
-            while last > 0 and table.column(1)[last - 1].as_py() == r and table.column(0)[last - 1].as_py() == t:
-                last -= 1  # the last pair may go on in the next batch
-            if last:
-                yield from close(table.slice(0, last))
-            carry = table.slice(last).to_batches()
-        if carry:
-            yield from close(pa.Table.from_batches(carry))
-
-    spread = rows.repartitionByRange("t", "r").sortWithinPartitions("t", "r")
-    return _sum(spread.mapInArrow(work, _COUNTS)).select(F.col("gram")[0].alias("term"), "occurrences", "records")
+            held.append(b)
+            n += b.num_rows
+            if n >= block_rows:
+                yield from close()
+                held, n = [], 0
+        if n:
+            yield from close()
+
+    spread = rows.repartition(width(df.sparkSession), "h").sortWithinPartitions("h", "t", *parts).drop("h")
+    each = spread.mapInArrow(work, _COUNTS).select(F.col("gram")[0].alias("term"), "occurrences", "records")
+    return each.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
 def marked(counts: DataFrame, n_records: DataFrame, rare_below: int = RARE_BELOW, common_over: int = COMMON_OVER) -> DataFrame:
