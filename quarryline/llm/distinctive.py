@@ -29,14 +29,22 @@ def term_spread(postings: DataFrame) -> DataFrame:
     return sums.select("term", "total", "records", F.greatest(entropy, F.lit(0.0)).alias("entropy"))
 
 
-def log_entropy(postings: DataFrame, n_records: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``postings`` (RECORD, term, cnt) with records, entropy and score.
+def scores(rows: DataFrame, spread: DataFrame, n_records: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` (with term and cnt) with the figures of ``term_spread`` and score.
 
     score = log2(1 + cnt) * (1 - entropy / log2(n_records)): 0 for a term spread
     evenly over all records, log2(1 + cnt) for one that a single record holds.
-    Terms of more than ``hot_rows`` postings and more than a thousandth of all
-    get their figures by a broadcast of at most a thousand rows. ``postings`` is
-    read several times: hand over a stored table.
+    Terms of more than ``hot_rows`` rows and more than a thousandth of all get
+    their figures by a broadcast of at most a thousand rows. ``rows`` is read
+    several times: hand over a stored table.
+    """
+    rest = 1.0 - F.col("entropy") / F.log2(F.lit(n_records)) if n_records > 1 else F.lit(1.0)
+    score = F.log2(1.0 + F.greatest("cnt", F.lit(0))) * F.greatest(rest, F.lit(0.0))
+    return lookup_join(rows, spread, "term", hot_rows).withColumn("score", score)
+
+
+def log_entropy(postings: DataFrame, n_records: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``postings`` (RECORD, term, cnt) with records, entropy and score.
 
     Defined cases: clean postings have no null term; the empty term is a term;
     a null record part is a value; with one record or none the score is the
@@ -44,10 +52,7 @@ def log_entropy(postings: DataFrame, n_records: int, hot_rows: int = HOT_ROWS) -
     rows; other columns are not read.
     """
     postings = postings.select(*RECORD, "term", "cnt")
-    scored = lookup_join(postings, term_spread(postings), "term", hot_rows)
-    rest = 1.0 - F.col("entropy") / F.log2(F.lit(n_records)) if n_records > 1 else F.lit(1.0)
-    score = F.log2(1.0 + F.greatest("cnt", F.lit(0))) * F.greatest(rest, F.lit(0.0))
-    return scored.withColumn("score", score)
+    return scores(postings, term_spread(postings), n_records, hot_rows)
 
 
 def candidates(scored: DataFrame, n_records: int, most: int) -> DataFrame:
@@ -61,27 +66,27 @@ def candidates(scored: DataFrame, n_records: int, most: int) -> DataFrame:
     return scored.where(F.col("score") >= F.log2(1.0 + F.greatest("cnt", F.lit(0))) * least - _ROUNDING)
 
 
-def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    postings = cut(clean_postings(read_table(spark, sf, "postings")))
-    n = read_table(spark, sf, "docs").count()
-    return log_entropy(postings, n), n
+def _postings(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    return cut(clean_postings(read_table(spark, sf, "postings"))), read_table(spark, sf, "docs").count()
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms that make up at least 4 % of a document and that few documents hold: by a bound on the score, then exactly."""
-    scored, n = _scored(spark, sf)
-    scored = candidates(scored, n, max(3, n // 100))
-    few = (F.col("records") <= 3) | (F.col("records") * 100 <= n)
+    """Terms that make up at least 4 % of a document and that few documents hold: by a bound on the score, then exactly.
+
+    Terms' figures are over all postings; rows below 4 % are left out before
+    scores are joined to the others.
+    """
+    postings, n = _postings(spark, sf)
     docs = read_table(spark, sf, "docs").select(*(F.col(c).alias(f"d_{c}") for c in RECORD), "n_terms")
     same = [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in RECORD]
-    rows = scored.where(few).join(docs, same).where(F.col("cnt") * 100 >= F.col("n_terms") * 4)
-    return rows.select(*RECORD, "term")
+    rows = cut(postings.join(docs, same).where(F.col("cnt") * 100 >= F.col("n_terms") * 4).select(*RECORD, "term", "cnt"))
+    few = (F.col("records") <= 3) | (F.col("records") * 100 <= n)
+    return candidates(scores(rows, term_spread(postings), n), n, max(3, n // 100)).where(few).select(*RECORD, "term")
 
 
 def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every clean posting's score against the whole index."""
-    scored, _ = _scored(spark, sf)
-    return scored.select(*RECORD, "term", "cnt", F.round("score", 4).alias("score"))
+    return log_entropy(*_postings(spark, sf)).select(*RECORD, "term", "cnt", F.round("score", 4).alias("score"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_scores": p4_scores}
