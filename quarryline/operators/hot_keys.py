@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..session import width
 
-BLOCKS = 1 << 14
+BLOCKS = 1 << 12
 _LOW, _HIGH = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 

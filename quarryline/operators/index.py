@@ -28,15 +28,21 @@ def running_number(df: DataFrame, by: str, order: str, into: str) -> DataFrame:
     return out.withColumn(into, (F.col("__rank") + F.col("__before")).cast("long")).drop("__block", "__rank", "__before")
 
 
-def assign_shards(docs: DataFrame, cfg: Config = PROD) -> DataFrame:
-    """``docs`` with core, db and doc_id (W01, W02); the last shard may be short and is kept."""
+def assign_shards(docs: DataFrame, cfg: Config = PROD, before: DataFrame | None = None) -> DataFrame:
+    """``docs`` with core, db and doc_id (W01, W02); the last shard may be short and is kept.
+
+    ``before``: (core, n), documents that cores hold already and number on from.
+    """
     rows = docs.withColumn("core", F.pmod("page_id", F.lit(cfg.n_cores)).cast("int"))
     rows = running_number(rows, "core", "page_id", "__seq")
+    if before is not None:
+        rows = rows.join(F.broadcast(before.select("core", F.col("n").alias("__n"))), "core", "left")  # a row a core
+        rows = rows.withColumn("__seq", F.col("__seq") + F.coalesce("__n", F.lit(0))).drop("__n")
     return rows.withColumns({"db": F.floor(F.col("__seq") / cfg.index_cap).cast("int"), "doc_id": F.pmod("__seq", F.lit(cfg.index_cap)).cast("long")}).drop("__seq")
 
 
-def build_index(pages: DataFrame, cfg: Config = PROD, only_terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(docs, postings) of ``pages``.
+def build_index(pages: DataFrame, cfg: Config = PROD, only_terms: list[str] | None = None, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(docs, postings) of ``pages``; ``before`` as in ``assign_shards``.
 
     docs: core, db, doc_id, page_id, url, n_terms, log2_terms. postings: core,
     db, doc_id, term, cnt, wt. With ``only_terms`` the postings of these terms
@@ -48,12 +54,17 @@ def build_index(pages: DataFrame, cfg: Config = PROD, only_terms: list[str] | No
     terms = F.col("terms") if only_terms is None else F.filter("terms", lambda t: t.isin(only_terms))
     n = F.size("terms").cast("long")
     long = cut(page_terms(pages).where(n >= cfg.min_n_tokens).select("page_id", "url", n.alias("n_terms"), terms.alias("terms")))
-    docs = cut(assign_shards(long.select("page_id", "url", "n_terms", log2_floor(F.col("n_terms")).alias("log2_terms")), cfg))
+    docs = cut(assign_shards(long.select("page_id", "url", "n_terms", log2_floor(F.col("n_terms")).alias("log2_terms")), cfg, before))
     counted = long.select("page_id", "n_terms", F.explode("terms").alias("term")).groupBy("page_id", "n_terms", "term").agg(F.count(F.lit(1)).alias("cnt"))
     postings = counted.join(docs.select("page_id", "core", "db", "doc_id"), "page_id")
     return docs, postings.select("core", "db", "doc_id", "term", "cnt", weight(F.col("cnt"), F.col("n_terms")).alias("wt"))
 
 
+def index_folder(cfg: Config) -> str:
+    """Where an index lies under the configured root."""
+    return f"{cfg.root}/index"
+
+
 def write_index(docs: DataFrame, postings: DataFrame, path: str) -> None:
     """One folder a shard (S05); postings lie in the order of terms, so a term's scan skips row groups."""
     shard = ["core", "db"]

@@ -11,7 +11,10 @@ from ..operators import frontier, links, metrics, scheduling
 from ..session import cut
 from ..sources import read_table
 from ..streaming.frontier import run_pops
+from ..streaming.index import stream_index
 from . import sql
+from .corpus import SMALL
+from .corpus import SQL as _CORPUS
 from .frontier import _POPPED
 
 ROUNDS = 3
@@ -67,6 +70,12 @@ def stream_pop_order(spark: SparkSession, sf: str) -> DataFrame:
     return run_pops(incs.unionByName(pops)).select("queue", F.col("seq").cast("int").alias("rk"), "url", "priority")
 
 
+def stream_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of an index filled by a stream of pages; equals shard_assignment."""
+    docs, _ = stream_index(spark, f"{sf}/page[s].parquet", SMALL)
+    return docs.select("core", "db", "doc_id", "page_id", "url", "n_terms", "log2_terms")
+
+
 def worker_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """The worker that each host's next job goes to."""
     jobs = read_table(spark, sf, "jobs")
@@ -108,7 +117,7 @@ def oversize_pages(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", F.octet_length("html").alias("bytes"), read.alias("read"), metrics.oversize(F.octet_length("html").cast("long")).alias("oversize"))
 
 
-_FNS = [crawl_rounds, crawl_frontier, frontier_popped_pages, frontier_waiting, pop_metrics, stream_pop_order, worker_assignment, log_jobs, log_report, log_sample, oversize_pages]
+_FNS = [crawl_rounds, crawl_frontier, frontier_popped_pages, frontier_waiting, pop_metrics, stream_pop_order, stream_shards, worker_assignment, log_jobs, log_report, log_sample, oversize_pages]
 QUERIES = {f.__name__: f for f in _FNS}
 
 _BEST = "row_number() OVER (PARTITION BY {q} ORDER BY priority DESC, url DESC)"
@@ -148,6 +157,7 @@ SQL = {
         SELECT CAST(q.queue AS INTEGER) AS queue, CAST({ATTEMPTS} AS BIGINT) AS attempts, coalesce(popped, 0) AS popped, {ATTEMPTS} - coalesce(popped, 0) AS missing, coalesce(total_priority, 0) AS total_priority
         FROM range({PROD.n_queues}) AS q(queue) LEFT JOIN e ON e.queue = q.queue""",
     "stream_pop_order": f"WITH {sql.LINKS}, {_POPPED.format('fr')} SELECT queue, rk, url, priority FROM pop WHERE rk <= {ATTEMPTS}",
+    "stream_shards": _CORPUS["shard_assignment"],
     "worker_assignment": f"""
         WITH ld AS (SELECT tid, count(*) AS waiting FROM jobs WHERE tid IS NOT NULL GROUP BY tid),
              sv AS (SELECT DISTINCT host, tid FROM recent_domains WHERE host IS NOT NULL AND tid IS NOT NULL),

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarryline.config import DEBUG, PROD, load_config
-from quarryline.operators import frontier, index, links, metrics, rle, robots, search, skew, text
+from quarryline.operators import frontier, index, links, metrics, ordering, rle, robots, scheduling, search, skew, text
 from quarryline.operators.hot_keys import dense_reduce
 
 
@@ -45,6 +45,13 @@ def test_dense_reduce_empty(spark):
     assert rows(dense_reduce(spark.createDataFrame([(None, 1)], "host string, p long"), "host", ["p"])) == []
 
 
+def test_dense_reduce_is_even(spark):
+    """Blocks lie evenly on the tasks of the reduction, and a task sums one block after the other."""
+    df = spark.range(0, 100_000, 1, 4).select(F.concat(F.lit("k"), "id").alias("k"))
+    sizes = [r["count"] for r in dense_reduce(df, "k", tasks=200).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 200 and sum(sizes) == 100_000 and max(sizes) < 1.5 * 500
+
+
 def test_dense_reduce_partials_are_few(spark):
     """A key of all rows leaves each split as one row."""
     df = spark.range(0, 100_000, 1, 4).select(F.lit("hot").alias("k"))
@@ -52,11 +59,43 @@ def test_dense_reduce_partials_are_few(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("limit", [0, 2, 100])
-def test_lookup_join(spark, how, limit):
+@pytest.mark.parametrize(("limit", "most"), [(0, 1000), (2, 1000), (2, 2), (100, 1000), (0, 1)])
+def test_lookup_join(spark, how, limit, most):
     big = spark.createDataFrame([(i, k) for i, k in enumerate(["a"] * 7 + ["b", "c", None, "d"])], "i int, k string")
     small = spark.createDataFrame([("a", 1), ("b", 2), ("d", 4), ("z", 9), (None, 0)], "k string, v int")
-    assert rows(skew.lookup_join(big, small, "k", limit, how).select("i", F.coalesce("v", F.lit(-1)))) == rows(big.join(small, "k", how).select("i", F.coalesce("v", F.lit(-1))))
+    assert rows(skew.lookup_join(big, small, "k", limit, how, most).select("i", F.coalesce("v", F.lit(-1)))) == rows(big.join(small, "k", how).select("i", F.coalesce("v", F.lit(-1))))
+
+
+def test_few_keys_are_broadcast(spark):
+    """However low the limit, no more than ``most`` keys are hot, and only those above it."""
+    big = spark.range(0, 50_000, 1, 4).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("k"))
+    assert len(skew.hot_hashes(big, "k", 0, 10)) == 1
+    assert len(skew.hot_hashes(big, "k", 0, 1_000)) == 501
+    assert skew.hot_hashes(big, "k", 20_000, 10) == [] and skew.hot_hashes(big.limit(0), "k", 0) == []
+
+
+# ---- order and best rows ----
+
+
+@pytest.mark.parametrize("width", ["1", "5"])
+def test_ranked(spark, width):
+    rnd = random.Random(7)
+    data = [(rnd.choice(["hot", "hot", "b", None, ""]), i, rnd.choice([None, 1, 2])) for i in rnd.sample(range(10_000), 2_000)]
+    df = spark.createDataFrame(data, "g string, i long, v int")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    try:
+        order = [F.col("v").desc_nulls_last(), F.col("i").asc()]
+        got = {(r.g, r.i): r.n for r in ordering.ranked(df, ["g"], order, "n").collect()}
+        best = {(r.g, r.i) for r in ordering.best(df, ["g"], order, 1_001).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = {}
+    for g in {r[0] for r in data}:
+        mine = sorted((r for r in data if r[0] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
+        want |= {(g, r[1]): n for n, r in enumerate(mine)}
+    assert got == want and best == {k for k, n in want.items() if n < 1_001}
+    assert ordering.ranked(df.limit(0), ["g"], order, "n").count() == 0
 
 
 # ---- text and index ----
@@ -159,18 +198,53 @@ def test_search(spark, seed):
 # ---- links, robots, frontier ----
 
 
+LONG = "<body>" + "word " * 200 + "</body>"
+
+
 def test_trap_page_loses_all_links(spark):
     html = "<a href='/ok'><a href=\"/a/b/a/b/c\">"
-    assert rows(links.page_links(page(spark, html, "<a href='/ok'><a href='/ok'><a href='https://b.example/x'>", None)).select("page_id", "url", "cross")) == [
-        (1, "http://a.example/ok", False), (1, "http://a.example/ok", False), (1, "https://b.example/x", True)
+    three = "<a href='/ok'><a href='/ok'><a href='https://b.example/x'>"
+    assert rows(links.page_links(page(spark, LONG + html, LONG + three, None)).select("page_id", "source", "url", "cross")) == [
+        (1, "http://a.example/1", "http://a.example/ok", False), (1, "http://a.example/1", "http://a.example/ok", False), (1, "http://a.example/1", "https://b.example/x", True)
     ]
+    assert rows(links.trap_pages(page(spark, html, three, None))) == [(0,)]
+
+
+def test_links_of_indexed_pages_only(spark):
+    """A page too short to index hands on no links (F10), nor does what lies beyond the bytes that are read."""
+    link = "<a href='/x'>"
+    short, enough = "<body>" + "word " * 199 + "</body>" + link, "<body>" + "word " * 200 + "</body>" + link
+    late = LONG + "<p>" + "é" * 130_000 + link
+    lost = "<body>" + "<p>é" * 64_000 + "word " * 200 + "</body>"
+    df = page(spark, short, enough, late, lost, LONG + link + "é" * 130_000)
+    assert rows(links.page_links(df).select("page_id")) == [(1,), (4,)]
+    assert rows(links.page_links(df, PROD.__class__(min_n_tokens=0, max_document_len=10**6)).select("page_id")) == [(0,), (1,), (2,), (4,)]
 
 
 def test_links_need_a_domain(spark):
-    df = spark.createDataFrame([(1, "http://1.2.3.4/", "<a href='/x'>"), (2, None, "<a href='/x'>"), (3, "", "")], "page_id long, url string, html string")
+    df = spark.createDataFrame([(1, "http://1.2.3.4/", LONG + "<a href='/x'>"), (2, None, LONG + "<a href='/x'>"), (3, "", "")], "page_id long, url string, html string")
     assert rows(links.page_links(df)) == []
 
 
+def test_legacy_links(spark):
+    html = "<a href='http://b.edu/x?q'><a href='http://c.ac/x.xml'><a href='http://c.ac.uk/y'><a href='/a/b/a/b/c'><a href='http://b.edu/x'><a href='/z.css'>"
+    df = spark.createDataFrame([(1, "http://a.edu/", html), (2, "http://a.example/", html), (3, "http://u.edu.test/", html)], "page_id long, url string, html string")
+    assert rows(links.legacy_links(df, 7).select("url")) == [("http://a.edu/a/b/a/b/c",), ("http://b.edu/x",), ("http://c.ac/x.xml",)]
+    assert "http://u.edu.test/a/b/a/b/c" in {r.url for r in links.legacy_links(df, 7, name=links.unreserved).collect()}
+
+
+def test_legacy_terms(spark):
+    df = page(spark, "a<body x>One<script>two</script></body>three<b>", "<BODY>x", None, "<body>")
+    assert {r.page_id: r.terms for r in text.legacy_terms(df).collect()} == {0: ["one", "two", "three"], 3: []}
+
+
+def test_legacy_robots(spark):
+    body = "User-agent: *\nDisallow: /a\n"
+    files = spark.createDataFrame([("h", body), ("long", body + "#" * 256_000)], "host string, body string")
+    bad = spark.sql("SELECT 'bad' AS host, cast(concat(cast('User-agent: *\nDisallow: /a\n' AS BINARY), X'ff') AS STRING) AS body")
+    assert rows(robots.legacy_rules(files.union(bad), "host", "body")) == [("h", "/a")]
+
+
 def test_robots(spark):
     body = "User-agent: Other\nDisallow: /no1\nUser-agent: *\r\nDisallow: /a\r\nDisallow:/no2\nAllow: /a/b\ndisallow: /no3\nDisallow: \nUser-agent: Rustbot/2\nDisallow: /b c\nUser-agent: X\nUser-agent: Y\nDisallow: /no4"
     files = spark.createDataFrame([("h", body), ("h", None), (None, body), ("e", "")], "host string, body string")
@@ -189,13 +263,149 @@ def test_frontier(spark):
     assert [r.url for r in popped.orderBy("rk").collect()] == ["a", "c", "b"]
     assert rows(frontier.split_pages(pri, one).select("url", "page")) == [("a", 0), ("b", 0), ("c", 1)]
     assert rows(frontier.pop_order(pri.withColumn("popped", F.col("url") == "a"), one, first=1).select("url")) == [("c",)]
+    half = frontier.split_pages(pri.withColumn("popped", F.when(F.col("url") == "c", True)), one)
+    assert rows(frontier.page_values(half)) == [(0, 0, "a", 2, 5), (0, 1, "c", 1, 0)]
     seen = spark.createDataFrame([("a",), (None,)], "url string")
     assert rows(frontier.unseen(pri, seen).select("url")) == [("b",), ("c",)]
 
 
+@pytest.mark.parametrize("width", ["1", "4"])
+def test_url_pages(spark, width):
+    """Urls fall into the page whose interval holds them, whatever partition its bound lies in."""
+    rnd = random.Random(3)
+    urls = [(q, f"u{n:04}", 1) for q in (0, 1, 3) for n in rnd.sample(range(3_000), 400)]
+    ranges = []
+    for q in (0, 1):
+        cuts = sorted(f"u{n:04}" for n in rnd.sample(range(3_000), 9))
+        ranges += [(q, i, a, z) for i, (a, z) in enumerate(zip([None, *cuts], [*cuts, None])) if i != 4]  # a gap
+    df = spark.createDataFrame(urls, "queue int, url string, priority long")
+    bounds = spark.createDataFrame(ranges, "queue int, page long, lower string, upper string")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    try:
+        got = rows(frontier.url_pages(df, bounds))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == sorted((q, u, p, i) for q, u, p in urls for r, i, a, z in ranges if r == q and (a is None or u >= a) and (z is None or u < z))
+
+
+def test_frontier_plans(spark):
+    """Pages and lookups are made without a window over a queue and without an inequality join."""
+    df = spark.createDataFrame([("a", 1)], "url string, priority long")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    pages = frontier.split_pages(df)
+    assert "NestedLoop" not in plan(pages) and "Window [row_number" not in plan(pages)
+    ranges = frontier.page_values(pages).select("queue", "page", "lower", F.lit(None).cast("string").alias("upper"))
+    found = plan(frontier.url_pages(pages.select("queue", "url", "priority"), ranges))
+    assert "NestedLoop" not in found and "Cartesian" not in found
+
+
+def model_crawl(links_of, roots, rounds, per_queue, queue):
+    cnt, popped, jobs = dict(roots), set(), []
+    for n in range(rounds):
+        now = []
+        for q in sorted({queue(u) for u in cnt}):
+            waiting = sorted(((c, u) for u, c in cnt.items() if u not in popped and queue(u) == q), reverse=True)
+            now += [(n, q, u, c) for c, u in waiting[:per_queue]]
+        jobs += now
+        popped |= {u for _, _, u, _ in now}
+        for _, _, u, _ in now:
+            for v in links_of.get(u, []):
+                cnt[v] = cnt.get(v, 0) + 1
+    return sorted(jobs), sorted((u, c, u in popped) for u, c in cnt.items())
+
+
+def test_crawl(spark):
+    """Pops feed the next round; a popped url counts on and never comes out again."""
+    import hashlib
+
+    rnd = random.Random(2)
+    links_of = {f"http://a.example/{i}": [f"http://a.example/{rnd.randrange(40)}" for _ in range(5)] for i in range(30)}
+    df = spark.createDataFrame([(i, u + "?q=1#f", LONG + "".join(f"<a href='{v}'>" for v in vs)) for i, (u, vs) in enumerate(links_of.items())], "page_id long, url string, html string")
+    roots = [("http://a.example/3", 2), ("http://a.example/7", 2), ("http://a.example/9", 1)]
+    cfg = PROD.__class__(n_queues=2)
+    jobs, left = frontier.crawl(df, spark.createDataFrame(roots, "url string, inc long"), 4, 2, cfg)
+    queue = lambda u: int(hashlib.md5(u.encode()).hexdigest()[:8], 16) % 2
+    assert (rows(jobs), rows(left)) == model_crawl(links_of, roots, 4, 2, queue)
+
+
+def test_workers(spark):
+    recent = spark.createDataFrame([("h", 5), ("h", 2), ("h", 2), ("g", 5), ("e", 5), (None, 1), ("n", None)], "host string, tid int")
+    loads = spark.createDataFrame([(5, 249), (2, 250), (9, 9)], "tid int, waiting long")
+    hosts = spark.createDataFrame([("h",), ("g",), ("x",), ("n",), (None,), ("h",)], "host string")
+    assert rows(scheduling.assign_workers(hosts, recent, loads)) == [("g", 5, "local"), ("h", 5, "local"), ("n", 9, "idle"), ("x", 9, "idle")]
+    full = spark.createDataFrame([(5, 250), (2, 250), (9, 10)], "tid int, waiting long")
+    assert rows(scheduling.assign_workers(hosts, recent, full).select("host", "kind")) == [("g", "stashed"), ("h", "stashed"), ("n", "stashed"), ("x", "stashed")]
+
+
 # ---- runs, metrics, config ----
 
 
+def model_segments(weights, least):
+    """The codec's steps: gaps of ``least`` are runs, shorter ones single zeros; runs shorter than ``least`` go to the literal."""
+    out, literal, run, size = [], [], [], 0
+
+    def sync():
+        nonlocal literal, run
+        if literal:
+            out.append((len(literal), None, literal))
+        if run:
+            out.append((len(run), run[0], None))
+        literal, run = [], []
+
+    def push(x):
+        nonlocal run
+        if run and run[-1] != x:
+            if len(run) < least:
+                literal.extend(run)
+                run = []
+            else:
+                sync()
+        run.append(x)
+
+    def flush():
+        nonlocal run
+        if len(run) < least:
+            literal.extend(run)
+            run = []
+        sync()
+
+    for at, w in sorted(weights.items()):
+        if at - size < least:
+            for x in [0] * (at - size) + [w]:
+                push(x)
+        else:
+            flush()
+            out.append((at - size, 0, None))
+            run.append(w)
+        size = at + 1
+    flush()
+    firsts = [sum(n for n, *_ in out[:i]) for i in range(len(out))]
+    return [(i, a, *x) for i, (a, x) in enumerate(zip(firsts, out))]
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.dictionaries(st.integers(0, 60), st.integers(0, 2), min_size=1, max_size=45), st.integers(1, 6))
+def test_segments(spark, weights, least):
+    df = spark.createDataFrame([(0, 0, "t", d, w) for d, w in weights.items()], "core int, db int, term string, doc_id long, wt int")
+    segs = rle.encode_segments(df, least)
+    assert [tuple(r) for r in segs.orderBy("seg").select("seg", "first_doc", "len", "wt", "literal").collect()] == model_segments(weights, least)
+    assert rows(rle.decode_segments(segs).select("doc_id", "wt")) == sorted((d, w) for d, w in weights.items() if w)
+
+
+def test_log_jobs(spark):
+    body = "00:42:40.114 [core00/x] fetched http://a.example/x \r\n00:42:40.114 [core07/x] not html: http://b.example/y -> 404\nnoise\n00:42:40.114 [core01/x] timeout on https://c.example/z 5468ms"
+    df = spark.createDataFrame([(1, body), (2, None), (3, "")], "d long, t string")
+    assert rows(metrics.log_jobs(df, "d", "t").na.fill(-1)) == [
+        (1, 0, 0, "fetched", "http://a.example/x", 200, -1), (1, 1, 7, "not html", "http://b.example/y", 404, -1), (1, 3, 1, "timeout", "https://c.example/z", 200, 5468)
+    ]
+
+
+def test_pop_counts(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 5), ("c", 2)], "url string, priority long")
+    assert rows(metrics.pop_counts(df, F.when(F.col("url") == "c", 2).otherwise(0), 3, 2)) == [(0, 2, 2, 0, 6), (1, 2, 0, 2, 0), (2, 2, 1, 1, 2)]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.dictionaries(st.integers(0, 60), st.integers(0, 3), max_size=40))
 def test_runs_round_trip(spark, weights):
