@@ -84,11 +84,6 @@ def _set(points: list[int], escape: str = "\\U{:08x}") -> str:
     return "".join(escape.format(a) + ("" if a == z else "-" + escape.format(z)) for a, z in runs)
 
 
-@lru_cache(maxsize=1)
-def _unplain() -> re.Pattern:
-    return re.compile(f"[{_set(list(_plain()))}]")
-
-
 #: Each letter's class: the first (Latin) letter of its look.
 _CLASS = {ord(c): look[0] for look in LOOKS for c in look[1:]}
 _MEMBERS = {look[0]: look for look in LOOKS}
@@ -100,19 +95,42 @@ _OTHER = _set([c for c in range(0x370, _TOP) if SCRIPT[c] and c not in _CLASS])
 _MARKS = "\u0300-\u036f"
 _LETTER = f"A-Za-z{_OTHER}"
 #: Words that hold no Latin letter without look-alikes: the only ones whose letters are in question if no word mixes such letters with other alphabets.
-_OPEN_WORD = re.compile(f"(?<![{_LETTER}{_MARKS}])[{_OPEN}{_OTHER}][{_OPEN}{_OTHER}{_MARKS}]*+(?![{_LETTER}])")
-_ASCII_WORD = re.compile(f"(?<![A-Za-z])[{_OPEN}]++(?![A-Za-z])")
-_WORD = re.compile(f"(?<![{_LETTER}{_MARKS}])[{_LETTER}][{_LETTER}{_MARKS}]*+")
+_OPEN_WORD = re.compile(f"[{_OPEN}{_OTHER}](?<![{_LETTER}{_MARKS}].)[{_OPEN}{_OTHER}{_MARKS}]*+(?![{_LETTER}])")
+_ASCII_WORD = re.compile(f"[{_OPEN}](?<![A-Za-z].)[{_OPEN}]*+(?![A-Za-z])")
+_WORD = re.compile(f"[{_LETTER}](?<![{_LETTER}{_MARKS}].)[{_LETTER}{_MARKS}]*+")
 _MIXED = re.compile(f"[{_SHUT}][{_OPEN}{_MARKS}]*+[{_OTHER}]|[{_OTHER}][{_OPEN}{_MARKS}]*+[{_SHUT}]")
 
 
+@lru_cache(maxsize=1)
+def _table() -> tuple[np.ndarray, dict[str, str]]:
+    """What each decomposed character becomes in a skeleton, by code point, and those that become more than one."""
+    table, several = np.arange(sys.maxunicode + 1, dtype=np.uint32), {}
+    for c, r in _plain().items():
+        if r is None:
+            table[c] = _GONE
+        elif len(r) == 1:
+            table[c] = ord(r)
+        else:
+            several[chr(c)] = r
+    for c, r in _CLASS.items():
+        table[c] = ord(r)
+    return table, several
+
+
+_GONE = 0xFFFFFFFF
+
+
 def skeleton(text: str) -> str:
     """``text`` decomposed, without differences of form, every letter replaced by its look's class."""
     if text.isascii():
         return text
-    if _unplain().search(text):
-        text = unicodedata.normalize("NFD", text).translate(_plain())
-    return unicodedata.normalize("NFD", text).translate(_CLASS)
+    table, several = _table()
+    for c, r in several.items():
+        text = text.replace(c, r)
+    points = np.frombuffer(unicodedata.normalize("NFD", text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    looks = table[points]
+    looks = looks[looks != _GONE]
+    return unicodedata.normalize("NFD", looks.tobytes().decode("utf-32-le", "surrogatepass"))
 
 
 def letter_pairs(texts: dict[str, int]) -> dict[tuple[int, int], int]:
@@ -186,8 +204,8 @@ class Speller:
             c = back.get(c, "")
         return "".join(out)
 
-    def word(self, m: re.Match) -> str:
-        w = m.group()
+    def spelled(self, w: str) -> str:
+        """``search``, remembered for words of usual length."""
         got = self.words.get(w)
         if got is None:
             got = self.search(w)
@@ -197,12 +215,18 @@ class Speller:
                 self.words[w] = got
         return got
 
+    def _respelled(self, words: re.Pattern, text: str) -> str:
+        """``text`` with its words spelled; most texts hold none that changes, which their distinct words tell."""
+        if all(self.spelled(w) == w for w in set(words.findall(text))):
+            return text
+        return words.sub(lambda m: self.spelled(m.group()), text)
+
     def form(self, text: str) -> str:
         """The one form of all texts that look like ``text``."""
         if text.isascii():
-            return _ASCII_WORD.sub(self.word, text)
+            return self._respelled(_ASCII_WORD, text)
         plain = skeleton(text)
-        return unicodedata.normalize("NFC", (_WORD if _MIXED.search(plain) else _OPEN_WORD).sub(self.word, plain))
+        return unicodedata.normalize("NFC", self._respelled(_WORD if _MIXED.search(plain) else _OPEN_WORD, plain))
 
 
 def _forms(df: DataFrame, id_col: str, text: str, hashed: bool, vocabulary: str) -> DataFrame:
