@@ -149,7 +149,6 @@ def term_counts(df: DataFrame, record: list[str], term: str, weight: str, block_
     """
     parts = [f"r{i}" for i in range(len(record))]
     rows = df.where(F.col(term).isNotNull()).select(F.col(term).alias("t"), F.coalesce(F.col(weight), F.lit(0)).cast("long").alias("w"), *(F.col(c).alias(p) for c, p in zip(record, parts)))
-    rows = rows.withColumn("h", F.xxhash64("t", *parts))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -176,7 +175,7 @@ def term_counts(df: DataFrame, record: list[str], term: str, weight: str, block_
         if n:
             yield from close()
 
-    spread = rows.repartition(width(df.sparkSession), "h").sortWithinPartitions("h", "t", *parts).drop("h")
+    spread = rows.repartition(width(df.sparkSession), "t", *parts).sortWithinPartitions(*reversed(parts), "t")
     each = spread.mapInArrow(work, _COUNTS).select(F.col("gram")[0].alias("term"), "occurrences", "records")
     return each.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
