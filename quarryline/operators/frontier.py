@@ -1,8 +1,8 @@
-"""The frontier in batch: priorities, pop order, pages of urls."""
+"""The frontier in batch: priorities, pop order, pages of urls."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PROD, Config
@@ -46,8 +46,8 @@ def pop_order(frontier: DataFrame, cfg: Config = PROD, first: int | None = None)
     order = [F.col("priority").desc(), F.col("url").desc()]
     rows = cut(_queued(frontier, cfg))
     if first is not None:
-        return best(rows, ["queue"], order, first)
-    return ranked(rows, ["queue"], order, "rk").withColumn("rk", (F.col("rk") + 1).cast("int"))
+        return best(rows, ["queue"], order, first, few=True)
+    return ranked(rows, ["queue"], order, "rk", few=True).withColumn("rk", (F.col("rk") + 1).cast("int"))
 
 
 def round_robin(popped: DataFrame, limit: int | None = None) -> DataFrame:
@@ -92,10 +92,20 @@ def split_pages(frontier: DataFrame, cfg: Config = PROD) -> DataFrame:
     """
     popped = F.coalesce("popped", F.lit(False)) if "popped" in frontier.columns else F.lit(False)
     rows = cut(frontier.select(queue_of(F.col("url"), cfg.n_queues).alias("queue"), "url", "priority", popped.alias("popped")))
-    numbered = ranked(rows, ["queue"], [F.col("url").asc()], "n")
+    numbered = ranked(rows, ["queue"], [F.col("url").asc()], "n", few=True)
     return numbered.withColumn("page", F.expr(f"n div {cfg.page_capacity}")).drop("n")
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """A snapshot of the frontier's pages (S09): a folder a queue, pages in order, so one page is a few row groups."""
+    pages.repartitionByRange("queue", "page").sortWithinPartitions("queue", "page", "url").write.mode("overwrite").partitionBy("queue").parquet(path)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(url, priority, popped, page, queue) of a snapshot; filters on queue and page prune what is read."""
+    return spark.read.schema("url string, priority long, popped boolean, page long, queue int").parquet(path)
+
+
 def page_values(pages: DataFrame) -> DataFrame:
     """(queue, page, lower, n, value): a page's first url, size and highest waiting priority, 0 if none waits."""
     top = F.coalesce(F.max(F.when(~F.col("popped"), F.col("priority"))), F.lit(0))
@@ -111,7 +121,7 @@ def incremented(frontier: DataFrame, increments: DataFrame) -> DataFrame:
 
 def popped_now(frontier: DataFrame, per_queue: int, cfg: Config = PROD) -> DataFrame:
     """The ``per_queue`` best waiting urls of each queue."""
-    return best(_queued(frontier, cfg), ["queue"], [F.col("priority").desc(), F.col("url").desc()], per_queue).drop("rk")
+    return best(_queued(frontier, cfg), ["queue"], [F.col("priority").desc(), F.col("url").desc()], per_queue, few=True).drop("rk")
 
 
 def crawl(pages: DataFrame, roots: DataFrame, rounds: int, per_queue: int, cfg: Config = PROD) -> tuple[DataFrame, DataFrame]:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..config import PROD
 from ..functions import url as U
 from ..operators import frontier, links, metrics, scheduling
-from ..session import cut
+from ..session import cut, shared_path
 from ..sources import read_table
 from ..streaming.frontier import run_pops
 from ..streaming.index import stream_index
 from . import sql
 from .corpus import SMALL
 from .corpus import SQL as _CORPUS
-from .frontier import _POPPED
+from .frontier import _PAGED, _POPPED
 
 ROUNDS = 3
 PER_QUEUE = 4
@@ -49,6 +49,13 @@ def frontier_popped_pages(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.page_values(frontier.split_pages(pri.join(popped, "url", "left")))
 
 
+def frontier_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The first page of every queue, read by its number from a snapshot that was written page by page."""
+    path = shared_path(spark, "snapshot")
+    frontier.write_pages(frontier.split_pages(_frontier(spark, sf)), path)
+    return frontier.read_pages(spark, path).where("page = 0").select("queue", "page", "url", "priority", "popped")
+
+
 def frontier_waiting(spark: SparkSession, sf: str) -> DataFrame:
     """what still waits once the best of each queue are popped."""
     pri = _frontier(spark, sf)
@@ -117,7 +124,7 @@ def oversize_pages(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", F.octet_length("html").alias("bytes"), read.alias("read"), metrics.oversize(F.octet_length("html").cast("long")).alias("oversize"))
 
 
-_FNS = [crawl_rounds, crawl_frontier, frontier_popped_pages, frontier_waiting, pop_metrics, stream_pop_order, stream_shards, worker_assignment, log_jobs, log_report, log_sample, oversize_pages]
+_FNS = [crawl_rounds, crawl_frontier, frontier_popped_pages, frontier_snapshot, frontier_waiting, pop_metrics, stream_pop_order, stream_shards, worker_assignment, log_jobs, log_report, log_sample, oversize_pages]
 QUERIES = {f.__name__: f for f in _FNS}
 
 _BEST = "row_number() OVER (PARTITION BY {q} ORDER BY priority DESC, url DESC)"
@@ -151,6 +158,7 @@ SQL = {
              pg AS (SELECT {sql.QUEUE} AS queue, url, priority, url IN (SELECT url FROM top) AS popped,
                            CAST((row_number() OVER (PARTITION BY {sql.QUEUE} ORDER BY url) - 1) // {PROD.page_capacity} AS BIGINT) AS page FROM fr)
         SELECT queue, page, min(url) AS lower, count(*) AS n, coalesce(max(priority) FILTER (WHERE NOT popped), 0) AS value FROM pg GROUP BY queue, page""",
+    "frontier_snapshot": f"WITH {sql.LINKS}, {_PAGED} SELECT queue, page, url, priority, false AS popped FROM pg WHERE page = 0",
     "frontier_waiting": f"WITH {sql.LINKS}, {_TOP} SELECT url, priority FROM fr WHERE url NOT IN (SELECT url FROM top)",
     "pop_metrics": f"""
         WITH {sql.LINKS}, {_POPPED.format("fr")}, e AS (SELECT queue, count(*) AS popped, CAST(sum(priority) AS BIGINT) AS total_priority FROM pop WHERE rk <= {ATTEMPTS} GROUP BY queue)

@@ -1,5 +1,8 @@
 """Every core query with SQL gives what the SQL gives."""
 
+import subprocess
+import sys
+
 import pytest
 
 from quarryline.plans import corpus, crawl, events, frontier, hosts, legacy
@@ -24,3 +27,12 @@ def test_entry(spark):
     df = e.entry(spark)
     assert df.columns[:4] == ["query_id", "pos", "url", "score"] and df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_without_optional_libraries():
+    """A missing optional library takes its own queries away and no others."""
+    from conftest import ROOT
+
+    code = "import sys; sys.modules['regex'] = None; import __spark_entry__ as e; q = e.queries(); assert 'search_two_terms' in q and set(e.oracle_sql()) <= set(q); print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
+    assert int(out.stdout) >= len(NAMES)
