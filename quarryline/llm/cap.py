@@ -125,7 +125,7 @@ def cap_share(df: DataFrame, contributor: str, quality: str, id_col: str, share:
     level = water_level(counts, Fraction(share))
     big = F.broadcast(counts.where(F.col("n") > level).select(contributor))
     rows = df.select(F.col(contributor), F.col(quality).alias("__q"), F.col(id_col).alias("__id")).join(big, contributor, "left_semi")
-    last = ranked(rows, [contributor], _order("__q", "__id"), "__rk").where(F.col("__rk") == level - 1)
+    last = ranked(rows, [contributor], _order("__q", "__id"), "__rk", few=True).where(F.col("__rk") == level - 1)
     cutoffs = F.broadcast(last.select(F.col(contributor).alias("__c"), "__q", "__id"))
     better = F.col(quality).isNotNull() & (F.col("__q").isNull() | (F.col(quality) > F.col("__q")))
     kept = F.col("__c").isNull() | better | (F.col(quality).eqNullSafe(F.col("__q")) & (F.col(id_col) <= F.col("__id")))
