@@ -100,10 +100,12 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, keep: list[str] | None = None, ids: bool = True) -> DataFrame:
+def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, keep: list[str] | None = None, ids: bool = True, deal: bool = True) -> DataFrame:
     """The columns ``keep`` of ``df`` with ``ids`` array<int>, or with ``n_tokens`` if not ``ids``.
 
     ``vocabulary``: a tokenizer's file, at the same path on every executor.
+    ``deal``: deal a few files' rows out to all cores; not for a ``df`` that
+    would have to be computed to be counted.
 
     Defined cases: null and empty texts have an empty list and 0 tokens; blank
     texts are encoded like any text; nulls in kept columns stay; repeated rows
@@ -111,7 +113,8 @@ def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
     """
     keep = keep or []
     named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = spread(df.select(*named, F.col(text).alias("t")))
+    rows = df.select(*named, F.col(text).alias("t"))
+    rows = spread(rows) if deal else rows
     last = "ids array<int>" if ids else "n_tokens long"
     schema = ", ".join([*(f"k{i} {t}" for i, (_, t) in enumerate(rows.dtypes[:-1])), last])
     names = [*(f"k{i}" for i in range(len(keep))), last.split()[0]]

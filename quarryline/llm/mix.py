@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.skew import lookup_join
-from ..session import cut, width
+from ..session import cut, spread, width
 from ..sources import read_table
 from .encode import VOCABULARY, encode_texts
 from .ribbon import mix
@@ -197,8 +197,9 @@ def mix_report(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFr
 
 def _inputs(spark: SparkSession, sf: str, vocabulary: str) -> tuple[DataFrame, DataFrame]:
     targets = read_table(spark, sf, "mix_targets")
-    wanted = read_table(spark, sf, "documents").select("doc_id", "source", "text").join(targets.select("source"), "source", "left_semi")
-    return cut(encode_texts(wanted, vocabulary=vocabulary, keep=["doc_id", "source"], ids=False).withColumnRenamed("n_tokens", "tokens")), targets
+    documents = spread(read_table(spark, sf, "documents").select("doc_id", "source", "text"))
+    wanted = documents.join(targets.select("source"), "source", "left_semi")
+    return cut(encode_texts(wanted, vocabulary=vocabulary, keep=["doc_id", "source"], ids=False, deal=False).withColumnRenamed("n_tokens", "tokens")), targets
 
 
 def p9_copies(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) -> DataFrame:
