@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,26 @@ from ..sources import read_table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the byte-level tokenizers' pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")  # the first plane
 _SAFE_CUT = regex.compile(r"\p{L}(?= \p{L})")
 _SEGMENT = 1 << 20
 _CACHED = 400_000
 _FLUSH = 1 << 21
 
 
+@lru_cache(maxsize=2)
+def splitter(top: int) -> re.Pattern:
+    """``PATTERN`` for texts of characters up to ``top``, its classes of characters written out for the standard matcher, which is faster with short sets."""
+    every = "".join(chr(c) for c in range(top + 1) if not 0xD800 <= c < 0xE000)
+
+    def members(name: str) -> str:
+        ends = ((ord(every[a]), ord(every[z - 1])) for a, z in (m.span() for m in regex.finditer(f"{name}+", every)))
+        return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in ends)
+
+    letters, numbers, blanks = members(r"\p{L}"), members(r"\p{N}"), members(r"\s")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{blanks}{letters}{numbers}]+|[{blanks}]+(?![^{blanks}])|[{blanks}]+")
+
+
 class Encoder:
     """One vocabulary: a file of base64 tokens and ranks."""
 
@@ -47,19 +64,28 @@ class Encoder:
             if len(t) > 1:
                 b = np.frombuffer(t, np.uint8)
                 self.joins[b[:-1], b[1:]] = True
-        self.split = regex.compile(PATTERN).findall
+        self.joined = self.joins.tobytes()
+        self.ascii, self.plane, self.any = splitter(0x7F).findall, splitter(0xFFFF).findall, regex.compile(PATTERN).findall
         self.parts: dict[str, tuple[int, ...]] = {}
         self.fragments: dict[bytes, tuple[int, ...]] = {}
 
     def cut(self, part: bytes) -> list[bytes]:
         """``part`` cut at every forced boundary."""
-        b = np.frombuffer(part, np.uint8)
-        at = (np.flatnonzero(~self.joins[b[:-1], b[1:]]) + 1).tolist()
-        return [part[a:z] for a, z in zip([0, *at], [*at, len(part)])]
+        if len(part) <= 64:
+            joined = self.joined
+            at = [i for i, (a, b) in enumerate(zip(part, part[1:]), 1) if not joined[a << 8 | b]]
+        else:
+            b = np.frombuffer(part, np.uint8)
+            at = (np.flatnonzero(~self.joins[b[:-1], b[1:]]) + 1).tolist()
+        return [part[a:z] for a, z in zip([0, *at], [*at, len(part)])] if at else [part]
+
+    def split(self, text: str) -> list[str]:
+        """The parts of a text by ``PATTERN``."""
+        return (self.ascii if text.isascii() else self.any if _BEYOND.search(text) else self.plane)(text)
 
     def _part(self, part: str) -> tuple[int, ...]:
-        raw, out = part.encode(), []
-        for f in self.cut(raw) if len(raw) > 1 else [raw]:
+        out: list[int] = []
+        for f in self.cut(part.encode()):
             ids = self.fragments.get(f)
             if ids is None:
                 ids = tuple(self.encode_bytes(f))
@@ -68,12 +94,7 @@ class Encoder:
                         self.fragments.clear()
                     self.fragments[f] = ids
             out += ids
-        ids = tuple(out)
-        if len(part) <= 64:
-            if len(self.parts) >= _CACHED:
-                self.parts.clear()
-            self.parts[part] = ids
-        return ids
+        return tuple(out)
 
     def _segments(self, text: str) -> Iterator[str]:
         """Long texts in pieces, cut before a single blank between letters, where the pattern always parts."""
@@ -83,16 +104,34 @@ class Encoder:
             at = m.end()
         yield text[at:]
 
+    def _encoded(self, text: str | None) -> Iterator[Iterator[tuple[int, ...]]]:
+        """The ids of each part of each segment. Distinct parts are encoded once and remembered if they are of usual length."""
+        known = self.parts
+        for s in self._segments(text or ""):
+            parts = self.split(s)
+            distinct = set(parts)
+            new = distinct.difference(known)
+            if new and len(known) + len(new) > _CACHED:
+                known.clear()
+                new = distinct
+            for p in new:
+                known[p] = self._part(p)
+            yield map(known.__getitem__, parts)
+            for p in new:
+                if len(p) > 64:
+                    del known[p]
+
     def encode(self, text: str | None) -> list[int]:
         """The ids; null and empty texts have none. Strings that look special are text."""
         out: list[int] = []
-        parts, new = self.parts, self._part
-        for s in self._segments(text or ""):
-            for p in self.split(s):
-                ids = parts.get(p)
-                out += new(p) if ids is None else ids
+        for ids in self._encoded(text):
+            out.extend(chain.from_iterable(ids))
         return out
 
+    def count(self, text: str | None) -> int:
+        """The number of ids."""
+        return sum(sum(map(len, ids)) for ids in self._encoded(text))
+
 
 @lru_cache(maxsize=4)
 def encoder(vocabulary: str) -> Encoder:
@@ -124,7 +163,7 @@ def encode_texts(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
         for b in batches:
             others, texts = [b.column(i) for i in range(len(keep))], b.column(len(keep))
             if not ids:
-                n = pa.array([len(enc.encode(t.as_py())) for t in texts], pa.int64())
+                n = pa.array([enc.count(t) for t in texts.to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([*others, n], names)
                 continue
             flat, ends, first = [], [0], 0
