@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import LEGACY, PROD, Config
 from ..functions import url as U
 from ..functions.hashing import hashed
+from ..session import spread
 from .text import capped, n_terms
 
 
@@ -29,7 +30,7 @@ def parsed_links(pages: DataFrame) -> DataFrame:
 
 def resolved_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, b, u): every href of a page with a domain; ``u`` is null where the target is no http address."""
-    return parsed_links(pages).select("page_id", "b", F.posexplode("links").alias("pos", "u")).select("page_id", "pos", "b", "u")
+    return parsed_links(spread(pages)).select("page_id", "b", F.posexplode("links").alias("pos", "u")).select("page_id", "pos", "b", "u")
 
 
 def has_trap(links: str) -> Column:
@@ -39,7 +40,7 @@ def has_trap(links: str) -> Column:
 
 def crawled(pages: DataFrame, cfg: Config = PROD) -> DataFrame:
     """``pages`` as a crawler follows them: what is read of a body (S02), and only pages long enough to index."""
-    read = pages.where(F.col("html").isNotNull()).withColumn("html", capped(F.col("html"), cfg.max_document_len))
+    read = spread(pages).where(F.col("html").isNotNull()).withColumn("html", capped(F.col("html"), cfg.max_document_len))
     return read.where(n_terms(F.col("html")) >= cfg.min_n_tokens)
 
 
@@ -69,7 +70,7 @@ def crosses(host: Column, base: Column) -> Column:
 
 def trap_pages(pages: DataFrame) -> DataFrame:
     """Pages, of any length, that link to a trap."""
-    return parsed_links(pages).where(has_trap("links")).select("page_id")
+    return parsed_links(spread(pages)).where(has_trap("links")).select("page_id")
 
 
 def unreserved(host: Column) -> Column:
@@ -85,7 +86,7 @@ def legacy_links(pages: DataFrame, handlers: int, cfg: Config = LEGACY, name=lam
     ``name``: Column -> Column, the domain that a host is judged by.
     """
     academic = lambda host: U.is_domain(host) & U.is_academic(name(host))
-    read = pages.where(F.col("html").isNotNull()).withColumn("html", capped(F.col("html"), cfg.max_document_len))
+    read = spread(pages).where(F.col("html").isNotNull()).withColumn("html", capped(F.col("html"), cfg.max_document_len))
     links = parsed_links(read).where(academic(F.col("b.host"))).select(F.explode("links").alias("u")).where(F.col("u").isNotNull() & academic(F.col("u.host")))
     urls = links.select(plain(F.col("u")).alias("url"), F.col("u.host").alias("host"))
     fit = urls.where(~U.clearly_not_html(F.col("url"), legacy=True) & (F.octet_length("url") <= cfg.max_url_len))

@@ -61,7 +61,8 @@ def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out to all cores if its files make fewer splits than there are cores.
 
     For costly work on a row of its own; large inputs have more splits and
-    are left alone.
+    are left alone. ``df`` should be a scan: partitions are counted, and a
+    frame with a shuffle would be computed for that.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
